@@ -128,6 +128,6 @@ def recalibrate(df: DataFrame, batch: str, order: str, score: str, training_batc
         return pd.DataFrame(out, columns=["batch", "n", "mean", "drift", "updated", "threshold"])
 
     kind = df.schema[batch].dataType.simpleString()
-    return table.groupBy(F.lit(1)).applyInPandas(
+    return table.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
         walk, f"batch {kind}, n bigint, mean double, drift boolean, updated boolean, "
               "threshold double")
