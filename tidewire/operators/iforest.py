@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
+from ..session import cut_lineage
 from .prepare import unit_hash
 
 NODE_TYPE = ("member int, tree int, node int, feature int, cut double, left int, right int, "
@@ -122,8 +123,8 @@ class Forest:
         model = cls(nodes.sort_values(["member", "tree", "node"]), features, psi)
         share = {**config.FOREST_PARAMS, **(params or {})}["contamination"]
         from .ordered import exact_quantiles
-        scored = model.score(df, key).select(*[F.col("member_scores")[i].alias(f"m{i}")
-                                               for i in range(model.members)])
+        scored = cut_lineage(model.score(df, key).select(*[
+            F.col("member_scores")[i].alias(f"m{i}") for i in range(model.members)]), "members")
         cuts = exact_quantiles(scored, scored.columns, [share])
         model.offsets = [cuts[f"m{i}"][0] for i in range(model.members)]
         return model

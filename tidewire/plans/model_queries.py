@@ -35,7 +35,7 @@ def forest_scores(spark, sf):
     """Ensemble score, member vote and thresholded prediction of every message."""
     rows = feature_rows(spark, sf)
     model = fitted_forest(rows)
-    scored = model.vote(model.score(rows, keep=["is_anomaly"]))
+    scored = cut_lineage(model.vote(model.score(rows, keep=["is_anomaly"])), "scored")
     cut = th.forest_threshold(scored, "score", "is_anomaly")
     return fo.predict_forest(scored, cut).drop("member_scores")
 
@@ -44,7 +44,7 @@ def forest_scores(spark, sf):
 def forest_summary(spark, sf):
     """Sample, anomaly and threshold summary of the forest."""
     rows = feature_rows(spark, sf)
-    scored = fitted_forest(rows).score(rows, keep=["is_anomaly"])
+    scored = cut_lineage(fitted_forest(rows).score(rows, keep=["is_anomaly"]), "scored")
     cut = th.forest_threshold(scored, "score", "is_anomaly")
     return fo.prediction_summary(fo.predict_forest(scored, cut), cut)
 
