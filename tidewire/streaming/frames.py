@@ -19,7 +19,7 @@ class FlowFramer(StatefulProcessor):
     ignored from there on, until its state expires.
     """
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -52,9 +52,14 @@ class FlowFramer(StatefulProcessor):
         pass
 
 
-def frame_pdus_stream(packets: DataFrame, ttl: int = 3600) -> DataFrame:
-    """Complete units as they arrive; ``ttl`` seconds of silence end a flow."""
+def frame_pdus_stream(packets: DataFrame, ttl: int | None = None) -> DataFrame:
+    """Complete units as they arrive.
+
+    With ``ttl``, that many seconds of silence end a flow. Expiry runs on processing time and keeps
+    scheduling batches, so it belongs to continuously running queries; a run over a fixed set of
+    files leaves it out.
+    """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return packets.groupBy(*FLOW).transformWithStateInPandas(
-        statefulProcessor=FlowFramer(ttl * 1000), outputStructType=OUTPUT, outputMode="append",
-        timeMode="processingTime")
+        statefulProcessor=FlowFramer(ttl * 1000 if ttl else None), outputStructType=OUTPUT,
+        outputMode="append", timeMode="processingTime" if ttl else "none")
