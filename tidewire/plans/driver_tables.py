@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import obfuscation, text as tx
 from ..functions.sender import clock
+from ..session import spread
 
 ALERT = (" Терміново! Увага! Ваш рахунок 1234 заблоковано, переказ 500 грн. Click here:"
          " https://bit.ly/a1 або +380501234567!")
@@ -21,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when the input has fewer splits than cores.
-
-    Large inputs have more splits than cores and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, message_text."""
     kind = F.pmod(F.col("doc_id"), F.lit(10))

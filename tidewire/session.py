@@ -58,4 +58,13 @@ def cut_lineage(df, name: str):
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spread(spark.read.schema(df.schema).parquet(path))
+
+
+def spread(df):
+    """Use all cores for heavy per-row work when the input has fewer splits than cores.
+
+    Large inputs have more splits than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
