@@ -7,6 +7,11 @@ from .. import config
 from .chars import digit_set
 from .text import _col, _flag
 
+SOURCE_STATISTICS = ["source_length", "source_numeric", "source_short", "source_has_digits",
+                     "source_known"]
+CLOCK_STATISTICS = ["hour", "day_of_week", "is_weekend", "is_night", "is_business_hours",
+                    "hour_sin", "hour_cos", "day_sin", "day_cos"]
+
 
 def _senders(category: Column, lists, case: str) -> Column:
     """The sender list of the row's category as an array, null when there is none."""

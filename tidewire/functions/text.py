@@ -12,6 +12,14 @@ from .chars import (DIGIT, JNONSPACE as NONSPACE, JSPACE as SPACE, SPACE_CHARS,
 
 ALL_SUSPICIOUS = [w for words in config.SUSPICIOUS_WORDS.values() for w in words]
 
+TEXT_FEATURES = ["message_length", "message_parts", "encoding_issues", "empty_message",
+                 "excessive_length", "suspicious_word_count", "url_count", "suspicious_url",
+                 "urgency_score", "financial_patterns", "phone_numbers", "message_entropy",
+                 "social_engineering"]
+TEXT_STATISTICS = ["length", "word_count", "digit_ratio", "upper_ratio", "has_money", "has_phone",
+                   "has_url", "has_code", "exclamation_count", "question_count",
+                   "avg_word_length"]
+
 PHONE_PATTERN = r"\+?3?8?0[0-9]{9}"
 # The bare-domain branch can only start at the head of a run of non-space characters or where the
 # previous match ended; saying so keeps the scan linear on very long runs.

@@ -209,19 +209,21 @@ def _scan(pdf):
     else:
         entry = 0 if start == 0 else plausible_entry(data)
     row = {**_key(pdf), "start": start, "stop": start + len(data), "entry": -1, "next": -1,
-           "broken": False, "head": data[:16], "tail": b""}
+           "last": -1, "broken": False, "head": data[:16], "tail": b""}
     if entry is not None:
-        _, at, broken = follow_chain(data, entry)
-        row.update(entry=entry + start, next=at + start, broken=broken, tail=data[at:][:16])
-    return pd.DataFrame([row])
+        marks, at, broken = follow_chain(data, entry)
+        row.update(entry=entry + start, next=at + start, broken=broken, tail=data[at:][:16],
+                   last=marks[-1] + start if marks else -1)
+    order = [*_KEYS, "start", "stop", "entry", "next", "last", "broken", "head", "tail"]
+    return pd.DataFrame([row])[order]
 
 
 def _walk(pdf):
     """Per segment: the unit open at its start, the first boundary after that, and its state."""
     import pandas as pd
-    rows, at, carry, state = [], 0, b"", "ok"
+    rows, at, carry, state, unit = [], 0, b"", "ok", -1
     for r in pdf.sort_values("segment").itertuples(index=False):
-        opened, first, mine = at, -1, state
+        opened, first, mine = unit, -1, state
         if state == "ok":
             if at < r.start:
                 joined = carry + bytes(r.head)
@@ -239,7 +241,10 @@ def _walk(pdf):
                 elif at < r.stop:
                     at = r.next
                     carry = bytes(r.tail) if at < r.stop else b""
+                    unit = at if at < r.stop else r.last
                     state = "dead" if r.broken else "ok"
+                if at == r.stop:
+                    unit = -1
         rows.append((r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.segment, opened, first, mine))
     return pd.DataFrame(rows, columns=[*_KEYS, "opened", "first", "state"])
 
@@ -259,7 +264,7 @@ def _cut(pdf, whole: bool):
                         int(us[np.searchsorted(ends, b - start)])))
 
     if one["state"] != "dead":
-        if not whole and one["opened"] < start:
+        if not whole and one["opened"] >= 0:
             add(int(one["opened"]), start, stop if first < 0 else min(first, stop))
         if start <= first < stop:
             marks, after, broken = follow_chain(data, first - start)
@@ -301,7 +306,7 @@ def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp"
 
     if (plan.agg(F.max("segment")).first()[0] or 0) == 0:
         state = plan.select(*_KEYS).distinct().withColumns(
-            {"opened": F.lit(0), "first": F.lit(0), "state": F.lit("ok")})
+            {"opened": F.lit(-1), "first": F.lit(0), "state": F.lit("ok")})
         split = False
     else:
         state, split = _resolve(placed), True
@@ -319,7 +324,7 @@ def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp"
 
 def _resolve(placed: DataFrame) -> DataFrame:
     scan_type = (f"{_FLOW_TYPES}, segment bigint, start bigint, stop bigint, entry bigint, "
-                 "next bigint, broken boolean, head binary, tail binary")
+                 "next bigint, last bigint, broken boolean, head binary, tail binary")
     walk_type = f"{_FLOW_TYPES}, segment bigint, opened bigint, first bigint, state string"
     scans = cut_lineage(placed.groupBy(*_KEYS).applyInPandas(_scan, scan_type), "scan")
     while True:

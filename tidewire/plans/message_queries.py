@@ -14,7 +14,7 @@ from .driver_tables import (BURST, document_features, document_texts, message_ro
 from .sql_text import LABELLED, MSG, TEXTS, q, r6, sql
 
 RATE_COLUMNS = ["urgency_score", "message_entropy"]
-TEXT_COLS = list(tx.text_features("x"))
+TEXT_COLS = tx.TEXT_FEATURES
 
 
 @query("text_features", sql(TEXTS, s.TEXTFEAT, body=(
