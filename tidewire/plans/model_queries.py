@@ -149,7 +149,7 @@ def class_weights(spark, sf):
         F.count(F.lit(1)).alias("total"), F.first("weight").alias("weight"))
 
 
-CATEGORY_GRID = {"logistic_regression": {"C": [1.0]}, "svm": {"C": [1.0]}}
+CATEGORY_GRID = {"logistic_regression": {"C": [0.1, 1.0]}, "svm": {"C": [1.0]}}
 
 
 @query("classifier_report")
