@@ -1,7 +1,7 @@
 """Reports and monitoring aggregates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 PERIODS = {"1h": "1 hour", "24h": "1 day", "7d": "7 days", "30d": "30 days"}
 
@@ -184,7 +184,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | None = No
     keyed = df.where(F.col(col).isNotNull())
     rng = keyed.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     if by:
-        on = keyed.join(F.broadcast(rng), by) if len(by) == 1 else keyed.join(rng, by)
+        on = keyed.join(rng, by)
     else:
         on = keyed.withColumns({"_lo": keyed.agg(F.min(col)).scalar(),
                                 "_hi": keyed.agg(F.max(col)).scalar()})
@@ -196,7 +196,3 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: list[str] | None = No
                  F.first("_hi").alias("_b"))
             .withColumn("bin_start", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("bin") / bins)
             .drop("_a", "_b"))
-
-
-def label_window(*keys: str):
-    return Window.partitionBy(*keys)

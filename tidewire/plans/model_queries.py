@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import config
 from ..operators import classify as cl, ensemble as en, evaluation as ev, iforest as fo
 from ..operators import prepare as pr, thresholds as th
 from ..operators.reconstruct import Reconstruction
@@ -82,8 +81,8 @@ def reconstruction_summary(spark, sf):
     return one(summary).join(one(quality), "_k").join(one(auc), "_k").drop("_k")
 
 
-@query("ensemble_pipeline")
-def ensemble_pipeline(spark, sf):
+@query("ensemble_results")
+def ensemble_results(spark, sf):
     """Both detectors fitted, stored, loaded and combined into result rows."""
     from ..session import work_dir
     rows = feature_rows(spark, sf)
@@ -171,5 +170,3 @@ def classifier_predictions(spark, sf):
     return cl.predict(rows.select("id", "timestamp", "source_addr", "message_text"),
                       fitted["model"]).select("id", "predicted_category", "confidence")
 
-
-__all__ = ["config"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
-from ..functions import pdu as pf
 from ..operators import thresholds as th
 from ..session import work_dir
 from ..sources.packets import packet_stream
@@ -14,7 +13,6 @@ from . import sql_text as s
 from .catalog import query
 from .driver_tables import BURST, message_rows
 from .pdu_queries import FRAMED, PARTS, packets
-from .report_queries import R
 from .sql_text import MSG, TEXTS, sql
 
 
@@ -118,5 +116,3 @@ def threshold_stream(spark, sf):
     live.run_batches(stream, step, work_dir(spark, "cp")).awaitTermination()
     return spark.read.parquet(out).drop("step")
 
-
-__all__ = ["R", "pf"]
