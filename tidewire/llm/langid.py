@@ -120,7 +120,8 @@ def _centroids(idf, k):
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang).
 
-    Rows without language or letters are left out. ``sample`` bounds the texts of a language that are
+    Rows without language or letters are left out; without any row left the model knows no language
+    and every text is ``und``. ``sample`` bounds the texts of a language that are
     clustered (chosen by a hash of doc_id); the model's size is set by the number of languages.
     """
     docs = docs.select("doc_id", "text", F.col("lang").alias("language")) \
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     df = dict(rows.collect())
     n = df.pop(-1, 0)
     if not n:
-        raise ValueError("no labelled text to learn from")
+        return Model(np.ones(SLOTS, np.float32), [UNKNOWN], np.zeros((1, SLOTS), np.float32), np.ones(1))
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(SLOTS)]))).astype(np.float32) + 1
     share = docs.groupBy("language").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)

@@ -30,27 +30,31 @@ def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
         .where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
 
 
-def without_repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, lines: int = LINES, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_lines, n_removed, text: lines in no later occurrence of a repeated window.
 
+    The columns named in ``carry`` come along; others are dropped.
+
     Lines are what stands between newline characters. A window counts as later when it also starts in
     a smaller doc_id, or earlier in the same document; every line it covers goes, overlaps are merged.
     Windows of blank lines only are left alone, texts of fewer lines than a window too. A null text
     is one empty line and stays null. Rows without a doc_id are dropped; a doc_id must be unique.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.select("doc_id", "text", F.struct(*carry).alias("rest") if carry else F.lit(0).alias("rest")) \
+        .where("doc_id is not null")
     later = repeated_lines(docs, lines).groupBy("doc_id").agg(F.collect_set("at").alias("later"))
     gone = F.flatten(F.transform("later", lambda i: F.sequence(i, i + lines - 1)))
     joined = docs.join(later.hint("shuffle_hash"), "doc_id", "left").select(
-        "doc_id", "text", _lines().alias("lines"), gone.alias("gone"))
+        "doc_id", "text", "rest", _lines().alias("lines"), gone.alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
-    joined = joined.select("doc_id", "text", "lines", F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    joined = joined.select("doc_id", "text", "rest", "lines", F.when(F.col("gone").isNotNull(), kept).alias("kept"))
     return joined.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long")
         .alias("n_removed"),
         F.when(F.col("kept").isNull(), F.col("text")).otherwise(
-            F.array_join(F.transform("kept", lambda i: F.element_at("lines", i + 1)), "\n")).alias("text"))
+            F.array_join(F.transform("kept", lambda i: F.element_at("lines", i + 1)), "\n")).alias("text"),
+        *[F.col("rest").getField(c).alias(c) for c in carry])
 
 
 SQL = f"""

@@ -256,10 +256,10 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[str]:
 
 
 def tokens(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_bytes, tokens, n_byte_tokens, decoded for the SentencePiece file ``model``.
+    """doc_id, n_bytes, tokens, n_byte_tokens, decoded, round_trip for the SentencePiece file ``model``.
 
-    Null and empty texts have no tokens and decode to an empty text. Decoding gives the text back but
-    for markers that stood in it, which become spaces. Every row of the input gives one row.
+    Null and empty texts have no tokens and decode to an empty text. ``round_trip`` tells
+    whether decoding gives the text back, but for markers that stood in it and become spaces. Every row of the input gives one row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
@@ -272,16 +272,19 @@ def tokens(docs: DataFrame, model: str) -> DataFrame:
             ids, offsets = encode(texts, v)
             fallback = np.zeros(len(ids) + 1, np.int64)
             np.cumsum(is_byte[ids], out=fallback[1:])
+            decoded = decode(ids, offsets, v)
+            same = [d == (t or "").replace("▁", " ") for d, t in zip(decoded, texts)]
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n_bytes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                  pa.array(fallback[offsets[1:]] - fallback[offsets[:-1]]),
-                 pa.array(decode(ids, offsets, v), pa.string())],
-                names=["doc_id", "n_bytes", "tokens", "n_byte_tokens", "decoded"])
+                 pa.array(decoded, pa.string()), pa.array(same, pa.bool_())],
+                names=["doc_id", "n_bytes", "tokens", "n_byte_tokens", "decoded", "round_trip"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(
-        run, "doc_id long, n_bytes long, tokens array<int>, n_byte_tokens long, decoded string")
+        run, "doc_id long, n_bytes long, tokens array<int>, n_byte_tokens long, decoded string, "
+             "round_trip boolean")
 
 
