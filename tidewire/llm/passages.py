@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BYTE_CODES, SpanHash, blocks, flat, staged, word_codes
+from .common import BYTE_CODES, SpanHash, blocks, flat, word_codes
 
-RUNS = "doc_id long, anchor long, stretch long, start long, n int"
+RUNS = "doc_id long not null, anchor long not null, stretch long not null, start long not null, n int not null"
 STRETCHES = "anchor long, stretch long, doc_id long, start long, n int, symbols binary"
-FOUND = "anchor long, stretch long, at int, until int, first_doc long, first_start long"
+FOUND = ("anchor long not null, stretch long not null, at int not null, until int not null, "
+         "first_doc long not null, first_start long not null")
 
 #: unit -> codes and offsets of all texts of a column
 UNITS: dict[str, Callable] = {
@@ -119,7 +120,9 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     runs = docs.mapInArrow(_runs(unit, width, gram), RUNS)
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("x"),
                                        F.max("doc_id").alias("y")).where("x < y" if across else "c > 1")
-    seen = staged(runs.join(again.select("anchor"), "anchor"), "seen")
+    # used twice in one plan with the same columns, so that its exchange is reused; the aggregation
+    # over it needs no shuffle of its own
+    seen = runs.join(again.select("anchor"), "anchor")
     first = seen.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"))
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("anchor", "stretch", "f.start", "f.n")).alias("wanted"))
@@ -127,7 +130,7 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, FOUND)
     return seen.join(found, ["anchor", "stretch"]).where(earlier).select(
         "doc_id", (F.col("start") + F.col("at")).alias("begin"),
-        (F.col("start") + F.col("until") + width - 1).alias("end"))
+        (F.col("start") + F.least("until", "n") + width - 1).alias("end"))
 
 
 def shards(batches, limit: int):

@@ -26,7 +26,7 @@ from .passages import covered, found_rows, merged_runs, repeated_places, shards
 WIDTH = 100
 GRAM = 24
 #: symbol bytes of a shard, and tuples of a queue that stay in memory
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 HELD = 1 << 20
 
 
