@@ -18,7 +18,7 @@ WORDS = 5
 ROWS = 2
 COLLECTION = 10
 #: hub rounds before what is left is compared pair by pair
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: members of one hub that a task compares at once
 HUB_SHARE = 400
 

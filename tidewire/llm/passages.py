@@ -8,9 +8,9 @@ occurs again go on; equal stretches are kept once, with the place where they sta
 dealt out by anchor to shards that an index (suffix array, FM-index) works through. What a shard
 finds, the first place of each window, goes back to all occurrences of the stretch by a join.
 
-Hot anchors: occurrences are counted with partial aggregation, equal stretches are merged before
-their symbols are read, and both joins are plain equi-joins of narrow rows, which adaptive
-execution splits.
+Hot anchors: rows of an anchor stream through counting, joining and merging in sorted order without
+being held, equal stretches are merged before their symbols are read, and the join that takes results
+back is a plain equi-join of narrow rows, which adaptive execution splits.
 """
 from __future__ import annotations
 
@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BYTE_CODES, SpanHash, blocks, flat, word_codes
 
-RUNS = "doc_id long not null, anchor long not null, stretch long not null, start long not null, n int not null"
+#: start and number of windows of a stretch share one number; a stretch has fewer windows than this
+MOST_BITS = 12
+RUNS = "doc_id long not null, anchor long not null, stretch long not null, at long not null"
 STRETCHES = "anchor long, stretch long, doc_id long, start long, n int, symbols binary"
 FOUND = ("anchor long not null, stretch long not null, at int not null, until int not null, "
          "first_doc long not null, first_start long not null")
@@ -79,8 +81,8 @@ def _runs(unit, width, gram):
             text, anchor, stretch, start, n = stretches(codes, offsets, width, gram)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()).take(pa.array(text)), pa.array(anchor),
-                 pa.array(stretch), pa.array(start), pa.array(n.astype(np.int32))],
-                names=["doc_id", "anchor", "stretch", "start", "n"])
+                 pa.array(stretch), pa.array(start << MOST_BITS | n)],
+                names=["doc_id", "anchor", "stretch", "at"])
     return run
 
 
@@ -95,14 +97,15 @@ def _cut(unit, width):
             wanted = b.column("wanted")
             doc = np.repeat(np.arange(b.num_rows), wanted.value_lengths().to_numpy(False))
             each = wanted.flatten()
-            start, n = each.field("start").to_numpy(), each.field("n").to_numpy()
+            at = each.field("at").to_numpy()
+            start, n = at >> MOST_BITS, at & ((1 << MOST_BITS) - 1)
             begin = offsets[doc] + start
             data, size = symbols.tobytes(), symbols.itemsize
             cut = [data[size * x:size * y]
                    for x, y in zip(begin.tolist(), (begin + n + width - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [each.field("anchor"), each.field("stretch"), b.column("doc_id").take(pa.array(doc)),
-                 each.field("start"), each.field("n"), pa.array(cut, pa.binary())],
+                 pa.array(start), pa.array(n.astype(np.int32)), pa.array(cut, pa.binary())],
                 names=["anchor", "stretch", "doc_id", "start", "n", "symbols"])
     return run
 
@@ -113,24 +116,25 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
 
     ``index`` maps record batches of STRETCHES, one partition being a shard, to FOUND: for windows
     ``at <= i < until`` of a stretch the place where the same window stands first, ``first_start``
-    moving with ``i``. ``earlier`` compares that with an occurrence (doc_id, start). With ``across``
+    moving with ``i``. ``earlier`` compares that with the occurrence (doc_id, start) of window ``at``. With ``across``
     an anchor must stand in two documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    runs = docs.mapInArrow(_runs(unit, width, gram), RUNS)
+    # one exchange by anchor serves the counts, both uses of the join and the first places
+    runs = docs.mapInArrow(_runs(unit, width, gram), RUNS).repartition("anchor")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("x"),
-                                       F.max("doc_id").alias("y")).where("x < y" if across else "c > 1")
-    # used twice in one plan with the same columns, so that its exchange is reused; the aggregation
-    # over it needs no shuffle of its own
+                                       F.max("doc_id").alias("y"), F.max("at"), F.max("stretch")).where("x < y" if across else "c > 1")
     seen = runs.join(again.select("anchor"), "anchor")
-    first = seen.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "start", "n")).alias("f"))
+    first = seen.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "at")).alias("f"))
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct("anchor", "stretch", "f.start", "f.n")).alias("wanted"))
+        F.collect_list(F.struct("anchor", "stretch", "f.at")).alias("wanted"))
     cut = docs.join(wanted, "doc_id").mapInArrow(_cut(unit, width), STRETCHES)
     found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, FOUND)
-    return seen.join(found, ["anchor", "stretch"]).where(earlier).select(
-        "doc_id", (F.col("start") + F.col("at")).alias("begin"),
-        (F.col("start") + F.least("until", "n") + width - 1).alias("end"))
+    found = found.withColumnRenamed("at", "from")
+    start = F.shiftright("at", MOST_BITS)
+    return seen.join(found, ["anchor", "stretch"]).withColumn("start", start + F.col("from")).where(earlier).select(
+        "doc_id", F.col("start").alias("begin"),
+        (start + F.col("until") + width - 1).alias("end"))
 
 
 def shards(batches, limit: int):

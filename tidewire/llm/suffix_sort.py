@@ -334,7 +334,7 @@ def _index(width):
 
 def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, spans): byte ranges [begin, end) covered by windows that also start earlier."""
-    earlier = F.expr("first_doc < doc_id or (first_doc = doc_id and first_start < start + at)")
+    earlier = F.expr("first_doc < doc_id or (first_doc = doc_id and first_start < start)")
     spans = repeated_places(docs, "byte", width, gram, _index(width), earlier, False)
     return spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
