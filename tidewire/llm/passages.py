@@ -120,10 +120,12 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     an anchor must stand in two documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    # one exchange by anchor serves the counts, both uses of the join and the first places
+    # one exchange by anchor serves the extremes, both uses of the join and the first places; all
+    # columns take part in the extremes, else they would be pruned and need an exchange of their own
     runs = docs.mapInArrow(_runs(unit, width, gram), RUNS).repartition("anchor")
-    again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("x"),
-                                       F.max("doc_id").alias("y"), F.max("at"), F.max("stretch")).where("x < y" if across else "c > 1")
+    row = F.struct("doc_id", "at", "stretch")
+    again = runs.groupBy("anchor").agg(F.min(row).alias("low"), F.max(row).alias("high")).where(
+        "low.doc_id < high.doc_id" if across else "low < high")
     seen = runs.join(again.select("anchor"), "anchor")
     first = seen.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "at")).alias("f"))
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(
