@@ -140,3 +140,25 @@ def test_preparation(spark):
     assert pr.two_valued(df, ["a", "k", "f"]) == ["f"]
     split = pr.stratified_split(df, "f", "id")
     assert [r["n"] for r in split.groupBy("f").agg(F.sum("is_train").alias("n")).collect()] == [20, 20]
+
+
+def test_reconstruction_is_centred(spark):
+    import numpy as np
+    from tidewire.operators.reconstruct import Reconstruction
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 4)) + 5
+    rows = [(i, *map(float, r), i % 2, "abc"[i % 3]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, flag int, kind string")
+    model = Reconstruction.fit(df, ["a", "b", "c", "d", "flag", "kind"], k=3, augment=False)
+    m = np.array([r[0] for r in model.prepare(df).select("_x").orderBy("id").collect()])
+    pc, mean = model.pca.pc.toArray(), np.array(model.center)
+    want = (((m - mean) - (m - mean) @ pc @ pc.T) ** 2).mean(axis=1)
+    got = [r[0] for r in model.errors(df).orderBy("id").select("error").collect()]
+    assert np.abs(got - want).max() < 1e-9
+
+
+def test_last_update_wins(spark):
+    from tidewire.sources.tables import apply_updates
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(1, "x", 1), (1, "m", 2)], "id long, v string, n int")
+    assert sorted(map(tuple, apply_updates(base, new, "id", ["v"], "n").collect())) == [(1, "m"), (2, "b")]

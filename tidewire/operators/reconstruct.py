@@ -17,9 +17,9 @@ from .thresholds import percentile_threshold
 class Reconstruction:
     """Fitted preparation (medians, scaling, indicators) plus components."""
 
-    def __init__(self, kinds, medians, scales, hot, k, pca=None, threshold=None):
+    def __init__(self, kinds, medians, scales, hot, k, pca=None, threshold=None, center=None):
         self.kinds, self.medians, self.scales, self.hot = kinds, medians, scales, hot
-        self.k, self.pca, self.threshold = k, pca, threshold
+        self.k, self.pca, self.threshold, self.center = k, pca, threshold, center
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str] | None = None, k: int = 8,
@@ -38,6 +38,8 @@ class Reconstruction:
             flat = matrix.select(key, *[F.col("_x")[i].alias(c) for i, c in enumerate(cols)])
             matrix = pr.augment(flat, cols, key).select(key, F.array(*cols).alias("_x"))
         vectors = _as_vector(matrix, width)
+        # the mean of what the components come from, all columns
+        model.center = list(matrix.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(width)]).first())
         model.pca = PCA(k=min(k, width), inputCol="_v", outputCol="_p").fit(vectors)
         model.threshold = percentile_threshold(model.errors(valid, key), "error", percentile)
         return model
@@ -71,8 +73,10 @@ class Reconstruction:
                                                   lambda a, b: a * b), F.lit(0.0),
                                        lambda acc, v: acc + v)
         square = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
-        proj = F.array(*[dot(F.col("_x"), c) for c in comps])
         cols = [c for c in prepared.columns if c != "_x"]
+        prepared = prepared.select(*cols, F.zip_with(
+            "_x", F.array(*[F.lit(v) for v in self.center]), lambda a, b: a - b).alias("_x"))
+        proj = F.array(*[dot(F.col("_x"), c) for c in comps])
         error = F.greatest((square(F.col("_x")) - square(proj)) / F.size("_x"), F.lit(0.0))
         return prepared.select(*cols, error.alias("error"))
 

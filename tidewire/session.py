@@ -39,15 +39,20 @@ def local_session(cpus: str = "8", name: str = "tidewire", **conf: str) -> Spark
 def work_dir(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables and stream state.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``. A machine-local folder is used
-    only when none is configured, that is in tests.
+    It lies in the shared folder named by ``spark.checkpoint.dir`` and goes when the session ends. Only a
+    local master, that is a test, gets a folder of this machine when none is configured.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    path = f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def cut_lineage(df, name: str):

@@ -75,12 +75,17 @@ def unprocessed(flag="features_extracted") -> Column:
 
 
 def apply_updates(base: DataFrame, updates: DataFrame, key: str = "id",
-                  columns: list[str] | None = None) -> DataFrame:
-    """New version of ``base``: matched rows take the update values, NULL included."""
+                  columns: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """New version of ``base``: matched rows take the update values, NULL included.
+
+    Of several updates of one key the last by ``order`` wins (without ``order`` the largest by value).
+    """
     wanted = UPDATE_COLUMNS if columns is None else columns
     use = [c for c in wanted if c in updates.columns and c in base.columns]
-    new = updates.select(F.col(key), F.lit(True).alias("_hit"),
-                         *[F.col(c).alias(f"_new_{c}") for c in use])
+    values = F.struct(*use) if use else F.struct(F.lit(0).alias("_none"))
+    last = F.max(values) if order is None else F.max_by(values, F.struct(F.col(order), values))
+    new = updates.groupBy(key).agg(last.alias("_last")).select(
+        F.col(key), F.lit(True).alias("_hit"), *[F.col("_last").getField(c).alias(f"_new_{c}") for c in use])
     joined = base.join(new, key, "left")
     return joined.select(*[
         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in use
