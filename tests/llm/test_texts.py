@@ -125,6 +125,15 @@ def test_pieces(docs, rows):
         assert abs(score - best[-1]) < 1e-6
 
 
+def test_long_text_in_slices():
+    v = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ["one  two three", "ab " * 30, " a  b   c▁ d ", "z" * 40, "x" + " " * 30, "日本 😀 " * 9]:
+        parts = pieces.cut(text, 5)
+        assert " ".join(parts) == text and all(parts)
+        whole, _ = pieces.encode([text], v)
+        assert sum((pieces.encode([p], v)[0].tolist() for p in parts), []) == whole.tolist()
+
+
 def test_decontaminate(spark):
     item = "the quick brown fox jumps over the lazy dog and runs away from the barking hound tonight"
     broken = item.replace("quick", "quack").replace("lazy", "lzy")

@@ -21,6 +21,8 @@ MARK = "▁".encode()
 FALLBACK = 10.0
 #: bases looked at together when a node is placed
 SEARCH = 2048
+#: text bytes encoded at once; longer texts are cut where parts begin
+ENCODED = 1 << 18
 #: scores at or below this are flags of the file (runs of spaces); they count as its lowest score
 FLAG = -1e8
 
@@ -239,6 +241,38 @@ def encode(texts: list[str | None], v: Vocabulary):
     return out, total[np.searchsorted(begin, offsets)]
 
 
+def cut(text: str, limit: int = ENCODED) -> list[str]:
+    """Slices of about ``limit`` characters that encode as the text does when joined by one space.
+
+    A slice ends before a space behind another character, where a part begins; without such a space
+    the text stays whole. The marker in front of a slice stands for the space.
+    """
+    out, at = [], 0
+    while len(text) - at > limit:
+        to = text.find(" ", at + limit, len(text) - 1)
+        while to > 0 and text[to - 1] in " ▁":
+            to = text.find(" ", to + 1, len(text) - 1)
+        if to < 0:
+            break
+        out.append(text[at:to])
+        at = to + 1
+    return [*out, text[at:]]
+
+
+def both_ways(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Ids of all texts in a row, offsets, and the decoded texts; a long text slice by slice."""
+    if len(texts) != 1 or not texts[0]:
+        ids, offsets = encode(texts, v)
+        return ids, offsets, decode(ids, offsets, v)
+    ids, decoded = [], []
+    for piece in cut(texts[0]):
+        some, offsets = encode([piece], v)
+        ids.append(some)
+        decoded += decode(some, offsets, v)
+    ids = np.concatenate(ids)
+    return ids, np.array([0, len(ids)]), [" ".join(decoded)]
+
+
 def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[str]:
     """Texts of id sequences: bytes of the pieces, markers as spaces, the one in front taken off."""
     size = np.array([len(b) for b in v.bytes_of], np.int64)
@@ -267,12 +301,11 @@ def tokens(docs: DataFrame, model: str) -> DataFrame:
         v = shared.value
         is_byte = np.zeros(len(v.scores), bool)
         is_byte[v.byte_ids] = True
-        for b in blocks(batches):
+        for b in blocks(batches, limit=ENCODED):
             texts = b.column("text").to_pylist()
-            ids, offsets = encode(texts, v)
+            ids, offsets, decoded = both_ways(texts, v)
             fallback = np.zeros(len(ids) + 1, np.int64)
             np.cumsum(is_byte[ids], out=fallback[1:])
-            decoded = decode(ids, offsets, v)
             same = [d == (t or "").replace("▁", " ") for d, t in zip(decoded, texts)]
             n_bytes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
