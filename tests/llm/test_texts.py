@@ -72,6 +72,39 @@ def test_passages(docs, rows):
     assert got == want
 
 
+def test_near_text_shared_passage(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage[:rng.randint(50, 60)] + [f"w{k}_{i}" for i in range(rng.randint(0, 24))])
+             for k in range(120)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(texts)))
+    for a, b in combinations(root[:], 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert 3 < len(set(root)) < 100
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_text.near_duplicates(table).collect()}
+    assert got == dict(enumerate(root))
+    # every link is also found where no hub round has joined anything
+    groups = {(r.a, r.b) for r in _linked_by_rare(table)}
+    assert groups == {(a, b) for a, b in combinations(range(len(texts)), 2)
+                      if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+def _linked_by_rare(table):
+    sets = table.mapInArrow(near_text._sets, "doc_id long, n long, shingles binary")
+    label = sets.select("doc_id", F.col("doc_id").alias("root"), "n")
+    placed = near_text._mixed(near_text.rare_shingles(sets, 75), label, 1)
+    pairs = near_text._across(placed, 75).distinct()
+    return near_text.confirmed(pairs, sets, 75).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().collect()
+
+
 def test_near_text(docs, rows):
     sets = {}
     for i, text, *_ in rows:

@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import MULTIPLIER, blocks, components, flat, mix, staged, word_codes
 
 WORDS = 5
 ROWS = 2
 COLLECTION = 10
-#: hub rounds before what is left is compared pair by pair
+#: hub rounds before what is left is compared pair by pair, the first on table buckets
 HUB_ROUNDS = 2
+#: shingle counters that give the order from rare to common, by leading bits
+COUNTER_BITS = 18
 #: members of one hub that a task compares at once
 HUB_SHARE = 400
 
@@ -88,9 +90,50 @@ def _sets(batches):
         values, ends = shingle_sets(b.column("text"))
         data = values.tobytes()
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id").cast(pa.int64()),
+            [b.column("doc_id").cast(pa.int64()), pa.array(np.diff(ends)),
              pa.array([data[8 * x:8 * y] for x, y in zip(ends[:-1], ends[1:])], pa.binary())],
-            names=["doc_id", "shingles"])
+            names=["doc_id", "n", "shingles"])
+
+
+def _tally(batches):
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    for b in blocks(batches, "shingles"):
+        values = np.frombuffer(flat(b.column("shingles"))[0].tobytes(), np.uint64)
+        counts += np.bincount((values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], names=["slot", "n"])
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(cell, doc_id, short): the rarest shingles of each set, enough to meet every similar set.
+
+    Shingles stand in one order for all sets, rare ones first. Sets of similarity ``percent`` share one
+    among the first n - ceil(percent n / 100) + 1 of the larger and the first
+    n - ceil(2 percent n / (100 + percent)) + 1 of the smaller set; ``short`` marks the latter. Counters
+    only set the order: shingles that share a counter cost candidates, not links.
+    """
+    tally = sets.mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTER_BITS, np.int64)
+    counts[tally.column("slot").to_numpy()] = tally.column("n").to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        common = shared.value
+        for b in blocks(batches, "shingles"):
+            first, length, short = [], [], []
+            for x in b.column("shingles").to_pylist():
+                values = np.frombuffer(x, np.uint64)
+                n = len(values)
+                order = np.lexsort((values, common[(values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+                first.append(values[order[:n + percent * n // -100 + 1]])
+                length.append(len(first[-1]))
+                short.append(np.arange(length[-1]) < n + 2 * percent * n // -(100 + percent) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(first).view(np.int64)),
+                 pa.array(np.repeat(b.column("doc_id").to_numpy(), length)), pa.array(np.concatenate(short))],
+                names=["cell", "doc_id", "short"])
+
+    return sets.mapInArrow(run, "cell long, doc_id long, short boolean")
 
 
 def _confirm(percent):
@@ -131,9 +174,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = COLLEC
     """doc_id, n_shingles, component_id, kept for ``docs`` (doc_id, text).
 
     Documents with equal sets form a class; classes are compared through a representative. In a
-    table bucket every member is compared with one hub per round; a member already joined to the
-    hub's component is left out, and after the rounds every pair of the bucket whose components
-    still differ is compared, so that no candidate is lost. Null or empty texts have an empty set
+    table bucket every member is compared with one hub; a member already joined to the hub's
+    component is left out. Documents whose buckets still hold several components then meet in
+    smaller buckets, by their rarest shingles (``rare_shingles``), again with one hub per round; after
+    the rounds every pair of such a bucket whose components still differ is compared, so that no
+    candidate is lost. Null or empty texts have an empty set
     and stand alone; a null doc_id is not accepted (rows are dropped). Repeated doc_ids count as
     one document whose rows must be equal.
     """
@@ -166,31 +211,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = COLLEC
 
     involved = cells.select("doc_id").distinct()
     sets = staged(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                  .mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
-    links = None
-    label = cells.select("doc_id", F.col("doc_id").alias("root")).distinct()
+                  .mapInArrow(_sets, "doc_id long, n long, shingles binary"), "sets")
+    links, buckets = None, cells
+    label = sets.select("doc_id", F.col("doc_id").alias("root"), "n")
     for turn in range(hub_rounds + 1):
-        placed = cells.join(label, "doc_id")
-        mixed = placed.groupBy("cell").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min_by(F.struct("doc_id", "root"), F.xxhash64("doc_id", F.lit(turn))
-                     if turn else F.col("doc_id")).alias("h")).where("low <> high")
-        placed = placed.join(mixed, "cell")
+        placed = _mixed(buckets, label, turn)
+        if turn == 1:
+            left = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+            buckets = staged(rare_shingles(staged(left, "left"), percent), "rare")
+            placed = _mixed(buckets, label, turn)
         if turn < hub_rounds:
-            pairs = placed.where("root <> h.root").select(F.col("h.doc_id").alias("hub"), "doc_id")
-            if turn == 0:
-                # one hub for each document first: most groups are joined by it
-                pairs = pairs.groupBy("doc_id").agg(F.min("hub").alias("hub")).select("hub", "doc_id")
+            pairs = placed.where("root <> hub.root").where(_sizes_fit("n", "hub.n", percent))
+            # one hub for each document: most groups are joined by it
+            pairs = pairs.groupBy("doc_id").agg(F.min("hub.doc_id").alias("hub")).select("hub", "doc_id")
         else:
-            pairs = _across(placed)
-        pairs = staged(pairs.distinct(), "pairs")
+            pairs = _across(placed, percent).distinct()
+        pairs = staged(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         found = staged(confirmed(pairs, sets, percent), "found")
         links = found if links is None else links.union(found)
         roots = components(links).withColumnRenamed("id", "doc_id")
-        label = staged(label.select("doc_id").join(roots, "doc_id", "left").select(
-            "doc_id", F.coalesce("root", "doc_id").alias("root")), "roots")
+        label = staged(label.select("doc_id", "n").join(roots, "doc_id", "left").select(
+            "doc_id", F.coalesce("root", "doc_id").alias("root"), "n"), "roots")
     # a class takes the root of its representative; roots are representatives, so smallest ids
     out = sig.select("doc_id", "n_shingles").distinct().join(same, "doc_id", "left")
     out = out.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left")
@@ -199,10 +242,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = COLLEC
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose components differ, through the components of the bucket."""
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _mixed(buckets: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold several components, with a hub of the bucket."""
+    placed = buckets.join(label, "doc_id")
+    ends = placed.groupBy("cell").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        F.min_by(F.struct("doc_id", "root", "n"), F.xxhash64("doc_id", F.lit(turn))
+                 if turn else F.col("doc_id")).alias("hub")).where("low <> high")
+    return placed.join(ends.select("cell", "hub"), "cell")
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket whose components differ and whose sizes fit, through the components of the bucket."""
     parts = placed.select("cell", "root").distinct()
     one = parts.join(parts.withColumnRenamed("root", "other"), "cell").where("root < other")
-    left = one.join(placed.select("cell", "root", F.col("doc_id").alias("hub")), ["cell", "root"])
-    right = placed.select("cell", F.col("root").alias("other"), "doc_id")
-    return left.join(right, ["cell", "other"]).select("hub", "doc_id")
+    member = placed.select("cell", "root", "doc_id", "n", "short")
+    left = one.join(member.toDF("cell", "root", "hub", "hub_n", "hub_short"), ["cell", "root"])
+    both = left.join(member.withColumnRenamed("root", "other"), ["cell", "other"])
+    return both.where(_sizes_fit("n", "hub_n", percent)).where(
+        "(hub_short and hub_n <= n) or (short and n <= hub_n)").select("hub", "doc_id")
