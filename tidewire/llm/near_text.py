@@ -105,7 +105,7 @@ def _tally(batches):
 
 
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(cell, doc_id, short): the rarest shingles of each set, enough to meet every similar set.
+    """(cell, doc_id, at, short): the rarest shingles of each set with their ranks, enough to meet every similar set.
 
     Shingles stand in one order for all sets, rare ones first. Sets of similarity ``percent`` share one
     among the first n - ceil(percent n / 100) + 1 of the larger and the first
@@ -120,20 +120,22 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         common = shared.value
         for b in blocks(batches, "shingles"):
-            first, length, short = [], [], []
+            first, length, short, at = [], [], [], []
             for x in b.column("shingles").to_pylist():
                 values = np.frombuffer(x, np.uint64)
                 n = len(values)
                 order = np.lexsort((values, common[(values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                 first.append(values[order[:n + percent * n // -100 + 1]])
                 length.append(len(first[-1]))
-                short.append(np.arange(length[-1]) < n + 2 * percent * n // -(100 + percent) + 1)
+                at.append(np.arange(length[-1]))
+                short.append(at[-1] < n + 2 * percent * n // -(100 + percent) + 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(first).view(np.int64)),
-                 pa.array(np.repeat(b.column("doc_id").to_numpy(), length)), pa.array(np.concatenate(short))],
-                names=["cell", "doc_id", "short"])
+                 pa.array(np.repeat(b.column("doc_id").to_numpy(), length)), pa.array(np.concatenate(at)),
+                 pa.array(np.concatenate(short))],
+                names=["cell", "doc_id", "at", "short"])
 
-    return sets.mapInArrow(run, "cell long, doc_id long, short boolean")
+    return sets.mapInArrow(run, "cell long, doc_id long, at long, short boolean")
 
 
 def _confirm(percent):
@@ -165,7 +167,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     member = pairs.join(shares, "hub").select(
         "hub", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"), "doc_id")
     hubs = member.select("hub", "share").distinct().withColumn("doc_id", F.col("hub"))
-    rows = member.unionByName(hubs).join(sets, "doc_id")
+    rows = member.unionByName(hubs).join(sets.hint("merge"), "doc_id")
     return rows.groupBy("hub", "share").applyInArrow(_confirm(percent), "a long, b long")
 
 
@@ -196,7 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = COLLEC
 
     half = reps.select("doc_id", F.posexplode("keys").alias("i", "key"))
     shared = half.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    half = half.join(shared, ["i", "key"]).groupBy("doc_id").agg(
+    half = half.join(shared.hint("merge"), ["i", "key"]).groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("i") < collection, F.struct("i", "key"))).alias("first"),
         F.collect_list(F.when(F.col("i") >= collection, F.struct("i", "key"))).alias("second"))
     cells = half.select("doc_id", F.explode("first").alias("x"), "second") \
@@ -207,17 +209,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, collection: int = COLLEC
         .where("n > 1")
     # tables that hold the same documents are one bucket
     size = size.groupBy("n", "who").agg(F.min("cell").alias("cell"))
-    cells = staged(cells.join(size.select("cell"), "cell"), "cells")
+    cells = staged(cells.join(size.select("cell").hint("merge"), "cell"), "cells")
 
     involved = cells.select("doc_id").distinct()
-    sets = staged(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # joins are merges at every size: broadcasts of small sides would end as the input grows
+    sets = staged(docs.join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
                   .mapInArrow(_sets, "doc_id long, n long, shingles binary"), "sets")
     links, buckets = None, cells
     label = sets.select("doc_id", F.col("doc_id").alias("root"), "n")
     for turn in range(hub_rounds + 1):
         placed = _mixed(buckets, label, turn)
         if turn == 1:
-            left = sets.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+            left = sets.join(placed.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
             buckets = staged(rare_shingles(staged(left, "left"), percent), "rare")
             placed = _mixed(buckets, label, turn)
         if turn < hub_rounds:
@@ -249,20 +252,26 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 def _mixed(buckets: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     """Members of buckets that hold several components, with a hub of the bucket."""
-    placed = buckets.join(label, "doc_id")
+    placed = buckets.join(label.hint("merge"), "doc_id")
     ends = placed.groupBy("cell").agg(
         F.min("root").alias("low"), F.max("root").alias("high"),
         F.min_by(F.struct("doc_id", "root", "n"), F.xxhash64("doc_id", F.lit(turn))
                  if turn else F.col("doc_id")).alias("hub")).where("low <> high")
-    return placed.join(ends.select("cell", "hub"), "cell")
+    return placed.join(ends.select("cell", "hub").hint("merge"), "cell")
 
 
 def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose components differ and whose sizes fit, through the components of the bucket."""
-    parts = placed.select("cell", "root").distinct()
-    one = parts.join(parts.withColumnRenamed("root", "other"), "cell").where("root < other")
-    member = placed.select("cell", "root", "doc_id", "n", "short")
-    left = one.join(member.toDF("cell", "root", "hub", "hub_n", "hub_short"), ["cell", "root"])
-    both = left.join(member.withColumnRenamed("root", "other"), ["cell", "other"])
-    return both.where(_sizes_fit("n", "hub_n", percent)).where(
-        "(hub_short and hub_n <= n) or (short and n <= hub_n)").select("hub", "doc_id")
+    """Pairs of a bucket whose components differ, the smaller set first, through the components of the bucket.
+
+    At the rarest shingle that two sets share, what follows in either bounds what they share in all.
+    """
+    parts = placed.groupBy("cell", "root").agg(F.bool_or("short").alias("some"))
+    one = parts.where("some").select("cell", "root").join(parts.toDF("cell", "other", "some"), "cell") \
+        .where("root <> other")
+    member = placed.select("cell", "root", "doc_id", "n", "at", "short")
+    left = one.drop("some").join(member.where("short").toDF("cell", "root", "hub", "hub_n", "hub_at", "hub_short"),
+                                 ["cell", "root"])
+    rest = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))
+    return left.join(member.withColumnRenamed("root", "other"), ["cell", "other"]) \
+        .where("hub_n < n or hub_n = n and (hub < doc_id or not short)") \
+        .where((100 + percent) * rest >= percent * (F.col("n") + F.col("hub_n"))).select("hub", "doc_id")
