@@ -263,15 +263,21 @@ def _mixed(buckets: DataFrame, label: DataFrame, turn: int) -> DataFrame:
 def _across(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket whose components differ, the smaller set first, through the components of the bucket.
 
-    At the rarest shingle that two sets share, what follows in either bounds what they share in all.
+    At the rarest shingle that two sets share, what follows in either bounds what they share in all:
+    ``reach`` is the largest partner that a set can have in the bucket. Components whose sizes and
+    reaches exclude each other are not opened.
     """
-    parts = placed.groupBy("cell", "root").agg(F.bool_or("short").alias("some"))
-    one = parts.where("some").select("cell", "root").join(parts.toDF("cell", "other", "some"), "cell") \
-        .where("root <> other")
-    member = placed.select("cell", "root", "doc_id", "n", "at", "short")
-    left = one.drop("some").join(member.where("short").toDF("cell", "root", "hub", "hub_n", "hub_at", "hub_short"),
-                                 ["cell", "root"])
-    rest = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))
+    reach = F.expr(f"({100 + percent} * (n - at) - {percent} * n) div {percent}")
+    member = placed.select("cell", "root", "doc_id", "n", "short", reach.alias("reach"))
+    parts = member.groupBy("cell", "root").agg(
+        F.min(F.when(F.col("short"), F.col("n"))).alias("least"),
+        F.max(F.when(F.col("short"), F.col("reach"))).alias("most"),
+        F.min("n").alias("other_least"), F.max("reach").alias("other_most"))
+    one = parts.select("cell", "root", "least", "most").where("least is not null") \
+        .join(parts.select("cell", F.col("root").alias("other"), "other_least", "other_most"), "cell") \
+        .where("root <> other and least <= other_most and other_least <= most")
+    small = member.where("short").toDF("cell", "root", "hub", "hub_n", "hub_short", "hub_reach")
+    left = one.join(small, ["cell", "root"]).where("hub_n <= other_most and other_least <= hub_reach")
     return left.join(member.withColumnRenamed("root", "other"), ["cell", "other"]) \
         .where("hub_n < n or hub_n = n and (hub < doc_id or not short)") \
-        .where((100 + percent) * rest >= percent * (F.col("n") + F.col("hub_n"))).select("hub", "doc_id")
+        .where("n <= hub_reach and hub_n <= reach").select("hub", "doc_id")
