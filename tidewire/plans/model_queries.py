@@ -15,18 +15,15 @@ from .message_queries import labelled_features
 from .report_queries import R
 from .sql_text import LABELLED, MSG, TEXTS, q, sql
 
-SMALL_FOREST = {"trees": 20}
-
-
 def feature_rows(spark, sf) -> DataFrame:
     """Labelled features, written once: fitting and scoring pass over them several times."""
     return cut_lineage(pr.add_composites(labelled_features(spark, sf)), "features")
 
 
-def fitted_forest(rows: DataFrame, params=None):
+def fitted_forest(rows: DataFrame):
     normal = rows.where("is_anomaly = 0")
     kept = pr.drop_correlated(normal, pr.select_features(normal))
-    return fo.Forest.fit(pr.zero_missing(normal, kept), kept, params=params or SMALL_FOREST)
+    return fo.Forest.fit(pr.zero_missing(normal, kept), kept)
 
 
 @query("forest_scores")
@@ -57,7 +54,7 @@ def embedding_forest(spark, sf):
     cols = [f"e{i}" for i in range(width)]
     rows = vectors.select(F.col("vec_id").alias("id"), *[
         F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    return fo.Forest.fit(rows, cols, params=SMALL_FOREST).score(rows).drop("member_scores")
+    return fo.Forest.fit(rows, cols).score(rows).drop("member_scores")
 
 
 @query("reconstruction_errors")
@@ -148,7 +145,8 @@ def class_weights(spark, sf):
         F.count(F.lit(1)).alias("total"), F.first("weight").alias("weight"))
 
 
-CATEGORY_GRID = {"logistic_regression": {"C": [0.1, 1.0]}, "svm": {"C": [1.0]}}
+#: limit of the optimiser's steps
+MAX_ITER = 1000
 
 
 @query("classifier_report")
@@ -156,7 +154,7 @@ def classifier_report(spark, sf):
     """Train both model families, then report the better one on the held-out rows."""
     rows = cut_lineage(labelled_messages(spark, sf).select(
         "id", "timestamp", "source_addr", "category", "message_text", "is_anomaly"), "training")
-    fitted = cl.train(rows, CATEGORY_GRID, folds=2, max_iter=5, size=500)
+    fitted = cl.train(rows, max_iter=MAX_ITER)
     done = fitted["model"].transform(fitted["test_rows"])
     return ev.class_report(done, "category", "predicted_category")
 
@@ -166,7 +164,7 @@ def classifier_predictions(spark, sf):
     """Predicted category and confidence of every message."""
     rows = cut_lineage(labelled_messages(spark, sf).select(
         "id", "timestamp", "source_addr", "category", "message_text", "is_anomaly"), "training")
-    fitted = cl.train(rows, {"logistic_regression": {"C": [1.0]}}, folds=2, max_iter=5, size=500)
+    fitted = cl.train(rows, max_iter=MAX_ITER)
     return cl.predict(rows.select("id", "timestamp", "source_addr", "message_text"),
                       fitted["model"]).select("id", "predicted_category", "confidence")
 
