@@ -1,6 +1,8 @@
 """Jobs over protocol data units: build, frame, decode, select, report."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
@@ -139,8 +141,8 @@ def capture_filter(packets: DataFrame, port: int = PORT) -> DataFrame:
 def capture_counts(packets: DataFrame, units: DataFrame) -> DataFrame:
     """packets_captured, pdus_parsed, parse_errors."""
     seen = packets.agg(F.count(F.lit(1))).scalar()
-    return units.agg(F.count_if(F.octet_length("raw") >= 16).alias("pdus_parsed"),
-                     F.count_if(F.octet_length("raw") < 16).alias("parse_errors")).withColumn(
+    return units.agg(F.count_if(F.col("error").isNull()).alias("pdus_parsed"),
+                     F.count_if(F.col("error").isNotNull()).alias("parse_errors")).withColumn(
         "packets_captured", seen)
 
 
@@ -152,21 +154,44 @@ def capture_counts(packets: DataFrame, units: DataFrame) -> DataFrame:
 #   2. a walk over the per-segment results (no payload) compares the boundary a segment assumed with
 #      the one its predecessor arrives at; wrong segments are scanned again from the right place;
 #   3. every segment cuts its units; pieces of units that cross segments are put together by key.
-# A length below 16 cannot hold its own header: the flow counts as broken from there on.
+# A length below 16 cannot hold its own header: such a damaged unit ends at the next plausible header,
+# which its first eight bytes tell, so that segments agree on it wherever they are cut.
 
 _KEYS = FLOW + ["segment"]
 _FLOW_TYPES = "src_ip string, src_port int, dst_ip string, dst_port int"
 
 
-def follow_chain(data: bytes, pos: int) -> tuple[list[int], int, bool]:
-    """Boundaries from ``pos`` while whole headers remain; then the next boundary, and broken."""
+_HEADER = re.compile(rb"(?=\x00[\x00\x01]..(?:" + b"|".join(
+    re.escape(c.to_bytes(4, "big")) for c in config.COMMANDS) + rb"))", re.DOTALL)
+LONGEST = 70_000
+
+
+def next_header(data: bytes, pos: int) -> int | None:
+    """First offset from ``pos`` with a believable length and a known command."""
+    for found in _HEADER.finditer(data, pos):
+        if 16 <= int.from_bytes(data[found.start():found.start() + 4], "big") <= LONGEST:
+            return found.start()
+    return None
+
+
+def follow_chain(data: bytes, pos: int, mend: bool = True) -> tuple[list[int], int, bool]:
+    """Boundaries from ``pos`` while whole headers remain; then the next boundary, and lost.
+
+    A damaged unit ends at the next plausible header; if there is none, or without ``mend``, the chain
+    is lost at that unit, which is the next boundary.
+    """
     found, n = [], len(data)
     while pos + 16 <= n:
         length = int.from_bytes(data[pos:pos + 4], "big")
         if length < 16:
-            return found, pos, True
-        found.append(pos)
-        pos += length
+            after = next_header(data, pos + 1) if mend else None
+            if after is None:
+                return found, pos, True
+            found.append(pos)
+            pos = after
+        else:
+            found.append(pos)
+            pos += length
     return found, pos, False
 
 
@@ -179,9 +204,9 @@ def plausible_entry(data: bytes) -> int | None:
         return None
     word = lambda k: sum(b[k + i:k + i + m] << (24 - 8 * i) for i in range(4))
     length = word(0)
-    good = (length >= 16) & (length <= 70_000) & np.isin(word(4), list(config.COMMANDS))
+    good = (length >= 16) & (length <= LONGEST) & np.isin(word(4), list(config.COMMANDS))
     for start in np.nonzero(good)[0]:
-        chain, _, broken = follow_chain(data[start:start + (1 << 20)], 0)
+        chain, _, broken = follow_chain(data[start:start + (1 << 20)], 0, mend=False)
         commands = {int.from_bytes(data[start + c + 4:start + c + 8], "big") for c in chain}
         if not broken and commands <= config.COMMANDS.keys():
             return int(start)
@@ -209,87 +234,133 @@ def _scan(pdf):
     else:
         entry = 0 if start == 0 else plausible_entry(data)
     row = {**_key(pdf), "start": start, "stop": start + len(data), "entry": -1, "next": -1,
-           "last": -1, "broken": False, "head": data[:16], "tail": b""}
+           "last": -1, "lost": False, "head": data[:16], "tail": b"", "sync": -1, "final": data[-7:]}
+    sync = next_header(data, 0)
+    if sync is not None:
+        row["sync"] = sync + start
     if entry is not None:
-        marks, at, broken = follow_chain(data, entry)
-        row.update(entry=entry + start, next=at + start, broken=broken, tail=data[at:][:16],
+        marks, at, lost = follow_chain(data, entry)
+        row.update(entry=entry + start, next=at + start, lost=lost, tail=data[at:][:16],
                    last=marks[-1] + start if marks else -1)
-    order = [*_KEYS, "start", "stop", "entry", "next", "last", "broken", "head", "tail"]
+    order = [*_KEYS, "start", "stop", "entry", "next", "last", "lost", "head", "tail", "sync", "final"]
     return pd.DataFrame([row])[order]
 
 
 def _walk(pdf):
-    """Per segment: the unit open at its start, the first boundary after that, and its state."""
+    """Per segment: the unit open at its start, the first boundary after that, its state, and the turn.
+
+    The turn is the boundary in the segment that only the next one's bytes tell: the end of a damaged
+    unit at a header that lies across both.
+    """
     import pandas as pd
     rows, at, carry, state, unit = [], 0, b"", "ok", -1
     for r in pdf.sort_values("segment").itertuples(index=False):
-        opened, first, mine = unit, -1, state
-        if state == "ok":
-            if at < r.start:
-                joined = carry + bytes(r.head)
-                if len(joined) < 16:
-                    carry = joined
+        row = {**{c: getattr(r, c) for c in _KEYS}, "opened": unit, "first": -1, "state": "ok", "turn": -1,
+               "start": r.start, "stop": r.stop}
+        rows.append(row)
+        head, known = bytes(r.head), state != "unknown"
+        # until the next boundary is known: a header across segments, or a damaged unit that goes on
+        while known and (state == "lost" or at < r.start):
+            joined = carry + head
+            base = r.start - len(carry)
+            if state == "lost":
+                found = next_header(joined, max(0, unit + 1 - base))
+                if found is not None and base + found < r.start:
+                    at = unit = base + found
+                    carry, state = carry[found:], "ok"
+                    for back in rows:
+                        if back["start"] <= at < back["stop"]:
+                            back["turn"] = at
+                        elif back["start"] > at:
+                            back["opened"] = at
+                elif r.sync >= 0:
+                    at, carry, state = r.sync, b"", "ok"
+                else:
+                    carry, known = (carry + bytes(r.final))[-7:], False
+            elif len(joined) < 16:
+                carry, known = joined, False
+            else:
+                length = int.from_bytes(joined[:4], "big")
+                if length < 16:
+                    state, unit = "lost", at
                 else:
-                    length = int.from_bytes(joined[:4], "big")
-                    if length < 16:
-                        state = mine = "dead"
                     at, carry = at + length, b""
-            if state == "ok" and at >= r.start:
-                first = at
-                if at < r.stop and r.entry != at:
-                    mine, state = "rescan", "unknown"
-                elif at < r.stop:
-                    at = r.next
+        if state == "unknown":
+            row["state"] = "unknown"
+        elif known:
+            row["first"] = at
+            if at < r.stop and r.entry != at:
+                row["state"], state = "rescan", "unknown"
+            elif at < r.stop:
+                at = r.next
+                if r.lost:
+                    state, unit, carry = "lost", at, bytes(r.final)
+                else:
                     carry = bytes(r.tail) if at < r.stop else b""
                     unit = at if at < r.stop else r.last
-                    state = "dead" if r.broken else "ok"
-                if at == r.stop:
-                    unit = -1
-        rows.append((r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.segment, opened, first, mine))
-    return pd.DataFrame(rows, columns=[*_KEYS, "opened", "first", "state"])
+            if at == r.stop and state == "ok":
+                unit = -1
+    return pd.DataFrame(rows)[[*_KEYS, "opened", "first", "state", "turn"]]
 
 
-def _cut(pdf, whole: bool):
-    """Units that lie in the segment, or the pieces of units that cross its borders."""
+def _cut(pdf, whole: bool, alone: bool):
+    """Units that lie in the segment, or the pieces of units that cross its borders.
+
+    ``done`` tells that a piece is the last one of its unit. With ``alone`` the segment is the flow.
+    """
     import numpy as np
     import pandas as pd
     data, ends, us = _stream(pdf)
     one = pdf.iloc[0]
-    start, first = int(one["start"]), int(one["first"])
+    start, first, turn = int(one["start"]), int(one["first"]), int(one["turn"])
     stop, out = start + len(data), []
 
-    def add(unit: int, a: int, b: int) -> None:
+    def add(unit: int, a: int, b: int, done: bool = True) -> None:
         if b > a:
             out.append((unit, a, data[a - start:b - start],
-                        int(us[np.searchsorted(ends, b - start)])))
-
-    if one["state"] != "dead":
-        if not whole and one["opened"] >= 0:
-            add(int(one["opened"]), start, stop if first < 0 else min(first, stop))
-        if start <= first < stop:
-            marks, after, broken = follow_chain(data, first - start)
-            marks = [m + start for m in marks] + ([] if broken else [after + start])
-            for a, b in zip(marks, marks[1:]):
-                if whole and b <= stop:
-                    add(a, a, b)
-                elif not whole and b > stop:
-                    add(a, a, stop)
-            if not whole and marks and marks[-1] < stop and not broken:
-                add(marks[-1], marks[-1], stop)
-            if broken and whole and marks:
-                add(marks[-1], marks[-1], after + start)
-    frame = pd.DataFrame(out, columns=["unit_start", "offset", "raw", "us"])
+                        int(us[np.searchsorted(ends, b - start)]), done))
+
+    rest = stop if turn < 0 else turn
+    if not whole and one["opened"] >= 0:
+        if first < 0:
+            add(int(one["opened"]), start, rest, turn >= 0)
+        else:
+            add(int(one["opened"]), start, min(first, stop), first <= stop)
+    if start <= first < stop:
+        marks, after, lost = follow_chain(data, first - start)
+        marks = [m + start for m in marks] + [after + start]
+        for a, b in zip(marks, marks[1:]):
+            if whole and b <= stop:
+                add(a, a, b)
+            elif not whole and b > stop:
+                add(a, a, stop, False)
+        if marks[-1] < stop and (alone and lost if whole else True):
+            add(marks[-1], marks[-1], rest, turn >= 0)
+    if not whole and turn >= 0:
+        add(turn, turn, stop, False)
+    frame = pd.DataFrame(out, columns=["unit_start", "offset", "raw", "us", "done"])
     for c in FLOW:
         frame[c] = one[c]
-    return frame[[*FLOW, "unit_start", "offset", "raw", "us"]]
+    return frame[[*FLOW, "unit_start", "offset", "raw", "us", "done"]]
+
+
+def unit_length(raw: str = "raw"):
+    """The length field of a unit."""
+    return F.conv(F.hex(F.substring(raw, 1, 4)), 16, 10).cast("bigint")
+
+
+def framing_error():
+    """Why a piece of a flow is no unit; null for units."""
+    return F.when((F.octet_length("raw") < 16) | (unit_length() < 16), F.lit("length below 16"))
 
 
 def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp",
                segment_bytes: int = 32 << 20, slice_s: int = 60) -> DataFrame:
-    """Units of every flow: flow columns, unit_start (byte offset), raw bytes, completion time.
+    """Units of every flow: flow columns, unit_start (byte offset), raw bytes, completion time, error.
 
     Packets count in (time, ``seq``) order. A unit is complete when all its bytes have arrived; a
-    trailing partial unit is left out.
+    trailing partial unit is left out. A damaged unit, whose length field is below 16, comes with its
+    bytes up to the next plausible header, or the flow's end, and an ``error``; units have none.
     """
     rows = packets.select(
         *[F.col(c).cast("int" if c.endswith("port") else "string").alias(c) for c in FLOW],
@@ -306,26 +377,27 @@ def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp"
 
     if (plan.agg(F.max("segment")).first()[0] or 0) == 0:
         state = plan.select(*_KEYS).distinct().withColumns(
-            {"opened": F.lit(-1), "first": F.lit(0), "state": F.lit("ok")})
+            {"opened": F.lit(-1), "first": F.lit(0), "state": F.lit("ok"), "turn": F.lit(-1)})
         split = False
     else:
         state, split = _resolve(placed), True
     ready = placed.join(state, _KEYS)
-    schema = f"{_FLOW_TYPES}, unit_start bigint, offset bigint, raw binary, us bigint"
+    schema = f"{_FLOW_TYPES}, unit_start bigint, offset bigint, raw binary, us bigint, done boolean"
 
     def cut(whole: bool) -> DataFrame:
-        return ready.groupBy(*_KEYS).applyInPandas(lambda pdf: _cut(pdf, whole), schema)
+        return ready.groupBy(*_KEYS).applyInPandas(lambda pdf: _cut(pdf, whole, not split), schema)
 
-    done = cut(True).drop("offset")
+    done = cut(True).drop("offset", "done")
     if split:
         done = done.unionByName(_assemble(cut(False)))
-    return done.select(*FLOW, "unit_start", "raw", F.timestamp_micros("us").alias("timestamp"))
+    return done.select(*FLOW, "unit_start", "raw", F.timestamp_micros("us").alias("timestamp"),
+                       framing_error().alias("error"))
 
 
 def _resolve(placed: DataFrame) -> DataFrame:
     scan_type = (f"{_FLOW_TYPES}, segment bigint, start bigint, stop bigint, entry bigint, "
-                 "next bigint, last bigint, broken boolean, head binary, tail binary")
-    walk_type = f"{_FLOW_TYPES}, segment bigint, opened bigint, first bigint, state string"
+                 "next bigint, last bigint, lost boolean, head binary, tail binary, sync bigint, final binary")
+    walk_type = f"{_FLOW_TYPES}, segment bigint, opened bigint, first bigint, state string, turn bigint"
     scans = cut_lineage(placed.groupBy(*_KEYS).applyInPandas(_scan, scan_type), "scan")
     while True:
         walked = cut_lineage(scans.groupBy(*FLOW).applyInPandas(_walk, walk_type), "walk")
@@ -340,15 +412,17 @@ def _assemble(pieces: DataFrame) -> DataFrame:
     """Put the pieces of border-crossing units together; unfinished units drop out by size first."""
     unit = [*FLOW, "unit_start"]
     size = pieces.groupBy(*unit).agg(
-        F.sum(F.octet_length("raw")).alias("have"), F.max("us").alias("us"),
+        F.sum(F.octet_length("raw")).alias("have"), F.max("us").alias("us"), F.max("done").alias("done"),
         F.min_by(F.struct("raw"), "offset").alias("lead"))
     # the length field itself may be split over two pieces, so short leads are kept
-    need = F.when(F.octet_length("lead.raw") >= 4, F.conv(F.hex(F.substring(
-        "lead.raw", 1, 4)), 16, 10).cast("bigint"))
-    full = size.where(need.isNull() | (F.col("have") == need)).select(*unit)
+    need = F.when(F.octet_length("lead.raw") >= 4, unit_length("lead.raw"))
+    # a damaged unit is whole where the next one starts or the flow ends, but for a partial header
+    complete = lambda have, right: F.when(have >= 16, right).otherwise(F.col("done"))
+    full = size.where(complete(F.col("have"), need.isNull() | (F.col("have") == need) | (need < 16))).select(*unit)
     joined = pieces.join(full, unit, "left_semi").groupBy(*unit).agg(
-        F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("p"), F.max("us").alias("us"))
+        F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("p"), F.max("us").alias("us"),
+        F.max("done").alias("done"))
     raw = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["raw"]))
-    whole = joined.select(*unit, raw.alias("raw"), "us")
-    return whole.where(F.octet_length("raw") == F.conv(F.hex(F.substring(
-        "raw", 1, 4)), 16, 10).cast("bigint")).select(*unit, "raw", "us")
+    whole = joined.select(*unit, raw.alias("raw"), "us", "done")
+    have, need = F.octet_length("raw"), unit_length()
+    return whole.where(complete(have, (have == need) | (need < 16))).select(*unit, "raw", "us")

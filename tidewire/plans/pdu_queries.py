@@ -187,7 +187,7 @@ SELECT CAST(src_port AS INTEGER) AS src_port, CAST(sum(n) OVER w - n AS BIGINT)
 FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""))
 def framed_units(spark, sf):
     """Units cut from the packet stream of every flow."""
-    out = pd_.frame_pdus(packets(spark, sf)).withColumn("h", pf.parse_header("raw"))
+    out = pd_.frame_pdus(packets(spark, sf)).where("error IS NULL").withColumn("h", pf.parse_header("raw"))
     return out.select("src_port", "unit_start", F.octet_length("raw").cast("bigint").alias(
         "command_length"), "h.command_id")
 
@@ -197,7 +197,7 @@ SELECT CAST(src_port AS INTEGER) AS src_port, CAST(sum(n) OVER w - n AS BIGINT)
 FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""))
 def framed_units_segmented(spark, sf):
     """The same with tiny segments, so that flows are cut and stitched in many places."""
-    out = pd_.frame_pdus(packets(spark, sf), segment_bytes=20_000)
+    out = pd_.frame_pdus(packets(spark, sf), segment_bytes=20_000).where("error IS NULL")
     return out.select("src_port", "unit_start", F.octet_length("raw").cast("bigint").alias(
         "command_length"))
 

@@ -40,7 +40,7 @@ def framed_stream(spark, sf):
     run = frame_pdus_stream(raw).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", work_dir(spark, "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(out).select("src_port", "unit_start", F.octet_length("raw").cast(
+    return spark.read.parquet(out).where("error IS NULL").select("src_port", "unit_start", F.octet_length("raw").cast(
         "bigint").alias("command_length"))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.pdus import FLOW, follow_chain
+from ..operators.pdus import FLOW, follow_chain, framing_error
 
 OUTPUT = ("src_ip string, src_port int, dst_ip string, dst_port int, unit_start bigint, raw binary, "
           "timestamp timestamp")
@@ -15,8 +15,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class FlowFramer(StatefulProcessor):
     """Keeps the bytes of the unfinished unit and their stream offset.
 
-    An idle flow is dropped after the time to live. A flow whose length field is impossible is
-    ignored from there on, until its state expires.
+    An idle flow is dropped after the time to live. A unit whose length field is impossible is kept
+    until the next plausible header arrives and goes out with an error.
     """
 
     def __init__(self, ttl_ms: int | None):
@@ -28,24 +28,20 @@ class FlowFramer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state = self.rest.get() if self.rest.exists() else None
-        data, offset, broken = (bytes(state[0]), state[1], state[2]) if state else (b"", 0, False)
+        data, offset, lost = (bytes(state[0]), state[1], state[2]) if state else (b"", 0, False)
         batch = pd.concat(list(rows)).sort_values(["timestamp", "packet_id"], kind="stable")
         out = []
-        if not broken:
-            for p in batch.itertuples(index=False):
-                data += bytes(p.payload)
-                marks, after, broken = follow_chain(data, 0)
-                ends = [*marks[1:], after] if marks else []
-                used = 0
-                for a, b in zip(marks, ends):
-                    if b <= len(data):
-                        out.append((*key, offset + a, data[a:b], p.timestamp))
-                        used = b
-                data, offset = data[used:], offset + used
-                if broken:
-                    data = b""
-                    break
-        self.rest.update((data, offset, broken))
+        for p in batch.itertuples(index=False):
+            data += bytes(p.payload)
+            marks, after, lost = follow_chain(data, 0)
+            ends = [*marks[1:], after] if marks else []
+            used = 0
+            for a, b in zip(marks, ends):
+                if b <= len(data):
+                    out.append((*key, offset + a, data[a:b], p.timestamp))
+                    used = b
+            data, offset = data[used:], offset + used
+        self.rest.update((data, offset, lost))
         yield pd.DataFrame(out, columns=[*FLOW, "unit_start", "raw", "timestamp"])
 
     def close(self) -> None:
@@ -53,7 +49,7 @@ class FlowFramer(StatefulProcessor):
 
 
 def frame_pdus_stream(packets: DataFrame, ttl: int | None = None) -> DataFrame:
-    """Complete units as they arrive.
+    """Complete units as they arrive, damaged ones with an ``error`` when the next header is seen.
 
     With ``ttl``, that many seconds of silence end a flow. Expiry runs on processing time and keeps
     scheduling batches, so it belongs to continuously running queries; a run over a fixed set of
@@ -62,4 +58,4 @@ def frame_pdus_stream(packets: DataFrame, ttl: int | None = None) -> DataFrame:
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return packets.groupBy(*FLOW).transformWithStateInPandas(
         statefulProcessor=FlowFramer(ttl * 1000 if ttl else None), outputStructType=OUTPUT,
-        outputMode="append", timeMode="processingTime" if ttl else "none")
+        outputMode="append", timeMode="processingTime" if ttl else "none").withColumn("error", framing_error())
