@@ -292,7 +292,8 @@ def _search(rows: pa.Table, width: int) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(n)), length + 1)
     at = np.arange(len(text)) - begin[owner]
     window = at < n[owner]
-    best = key[owner] + at
+    # a run of U+0000 can equal one across a mark, which is no window and must not count as earlier
+    best = np.where(window, key[owner] + at, np.iinfo(np.int64).max)
     with tempfile.TemporaryDirectory() as folder:
         held, low = [], 0
         for place, common in sorted_suffixes(text, ends, folder, width):
