@@ -29,3 +29,14 @@ def test_unknown_languages_are_rejected(spark):
     got = langid.identify(docs, model).collect()
     assert [(r.name, r.n) for r in got if r.accepted and r.name not in SYLLABLES] == []
     assert [(r.name, r.n) for r in got if r.name in SYLLABLES and not (r.accepted and r.lang_pred == r.name)] == []
+
+
+def test_a_language_without_trigrams_is_left_out(spark):
+    rows = [(i, "lorem ipsum dolor", "aa") for i in range(5)] + [(9, "a", "bb"), (10, "é", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert set(model.languages) == {"aa"}
+    got = {r.doc_id: r.accepted for r in langid.identify(docs, model).collect()}
+    assert got == {**dict.fromkeys(range(5), True), 9: False, 10: False}
+    none = langid.fit(docs.where("lang = 'bb'"))
+    assert not any(r.accepted for r in langid.identify(docs, none).collect())

@@ -171,13 +171,13 @@ def _centroids(idf, k):
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang).
 
-    Rows without language or letters are left out; without any row left the model knows no language
+    Rows without language, letters or a trigram are left out; without any row left the model knows no language
     and every text is ``und``. ``sample`` bounds the texts of a language that are
     clustered and those that limits are learned from (chosen by a hash of doc_id); the model's size is
     set by the number of languages.
     """
     docs = docs.select("doc_id", "text", F.col("lang").alias("language")) \
-        .where(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        .where(F.col("language").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") >= 3))
     rows = docs.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n"))
     df = dict(rows.collect())
     n = df.pop(-1, 0)
