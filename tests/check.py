@@ -14,7 +14,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def canon(v):
-    if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+    if v is None or v is pd.NA or (isinstance(v, float) and v != v) or v is pd.NaT:
         return "~"
     if isinstance(v, bool):
         return str(int(v))
@@ -44,7 +44,7 @@ def duck(sf_dir):
 
 def compare(spark, con, sf_dir, name, query, sql, verbose=True):
     t0 = time.time()
-    got = query(spark, sf_dir).toPandas()
+    got = query(spark, sf_dir).toArrow().to_pandas(integer_object_nulls=True)
     t1 = time.time()
     if sql is None:
         if verbose:
