@@ -93,6 +93,32 @@ def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
             at = to
 
 
+def byte_table(kept) -> bytes:
+    """A translation of bytes: A-Z to a-z, bytes for which ``kept`` holds to themselves, others to a space."""
+    lower = [c + 32 if 65 <= c <= 90 else c for c in range(256)]
+    return bytes(c if kept(c) else 32 for c in lower)
+
+
+def word_runs(raw: bytes, table: bytes, limit: int = BLOCK_BYTES):
+    """(start, words) of consecutive slices of ``raw``: its byte place and the words it holds.
+
+    ``table`` maps every byte outside a word to a space. A slice has at least ``limit`` bytes, but for the
+    last, and ends where a word ends, so that only one slice of words is held at a time.
+    """
+    parts, start = [], 0
+    for at in range(0, len(raw), limit):
+        part = raw[at:at + limit].translate(table)
+        cut = part.rfind(b" ") + 1
+        if cut == 0:
+            parts.append(part)
+            continue
+        yield start, b"".join([*parts, part[:cut]]).split()
+        parts, start = [part[cut:]], at + cut
+    words = b"".join(parts).split()
+    if words:
+        yield start, words
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 

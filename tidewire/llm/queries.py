@@ -6,8 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, fm_index, langid, line_windows, near_text, near_vectors, personal_data,
-               pieces, suffix_sort, token_counts)
+from . import (decontaminate, divergence, fm_index, langid, licenses, line_windows, near_text, near_vectors,
+               personal_data, pieces, spelling, suffix_sort, token_counts)
 from .common import table
 
 COUNTED = "byte_bpe_50k.json"
@@ -73,10 +73,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each source's terms to its language's and its peers'."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words of every word, the form it varies and the root of its forms."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices and identifier tags of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_language, op2_suffix_dedup, op3_line_dedup, op4_minhash, op5_sentencepiece, op6_decontaminate,
-        op7_substring_dedup, op8_token_counts, op9_near_vectors, op10_personal_data)}
+        op7_substring_dedup, op8_token_counts, op9_near_vectors, op10_personal_data, op11_divergence, op12_spelling,
+        op13_licenses)}
 
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
@@ -127,4 +143,4 @@ FROM roots LEFT JOIN counts USING (vec_id)
 """
 
 ORACLES = {"op3_line_dedup": line_windows.SQL, "op4_minhash": NEAR_TEXT_SQL, "op7_substring_dedup": PASSAGES_SQL,
-           "op9_near_vectors": VECTORS_SQL}
+           "op9_near_vectors": VECTORS_SQL, "op11_divergence": divergence.SQL, "op12_spelling": spelling.SQL}
