@@ -103,16 +103,17 @@ class Yard:
     """One expression: operands and operators are moved to postfix order and evaluated as they come off."""
 
     def __init__(self):
-        self.values, self.operators, self.labels = [], [], []
+        self.values, self.operators, self.labels, self.postfix = [], [], [], []
 
     def _apply(self):
         operator = self.operators.pop()
-        (right, rights), (left, lefts) = self.values.pop(), self.values.pop()
+        self.postfix.append(operator)
+        right, left = self.values.pop(), self.values.pop()
         if operator == "with":
             left = WEAK if left == STRONG else left
         else:
             left = max(left, right) if operator == "and" else min(left, right)
-        self.values.append((left, f"{lefts} {rights} {operator}"))
+        self.values.append(left)
 
     def _unwind(self, binding: int):
         while self.operators and BINDING.get(self.operators[-1], 0) >= binding:
@@ -134,24 +135,24 @@ class Yard:
                     return None
                 self.operators.append(token)
             elif token == ")":
+                if not operand:
+                    return None
                 self._unwind(1)
-                if not operand or not self.operators:
+                if not self.operators:
                     return None
                 self.operators.pop()
             else:
                 if operand:
                     return None
-                if exception:
-                    self.values.append((0, token))
-                else:
-                    label = family(token)
-                    self.labels.append(label)
-                    self.values.append((STRICTNESS[label], token))
+                self.postfix.append(token)
+                if not exception:
+                    self.labels.append(family(token))
+                self.values.append(0 if exception else STRICTNESS[self.labels[-1]])
                 operand, exception = True, False
-        self._unwind(1)
-        if not operand or self.operators:
+        if not operand:
             return None
-        return (*self.values[0], self.labels)
+        self._unwind(1)
+        return None if self.operators else (self.values[0], " ".join(self.postfix), self.labels)
 
 
 def expression(line: bytes) -> tuple[int, str, list[str]] | None:
