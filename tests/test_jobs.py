@@ -1,8 +1,10 @@
 import datetime as dt
+import math
 import random
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import pdu as pf
@@ -34,24 +36,70 @@ def test_bursts_match_brute_force(spark):
         assert got[i]["sender_frequency"] == sum(1 for r in rows if r[2] == s)
 
 
-def test_quantiles_with_refinement(spark):
+@pytest.mark.parametrize("parts", ["1", "3", "16"])
+def test_quantiles(spark, monkeypatch, parts):
     rng = np.random.default_rng(3)
-    values = np.concatenate([rng.normal(size=30_000), np.full(10_000, 0.25)])
-    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    values = np.concatenate([rng.normal(size=30_000), np.full(10_000, 0.25), [-0.0, 0.0]])
+    rows = [(float(v), None if i % 3 else float(i % 7)) for i, v in enumerate(values)] + [(None, None), (math.nan, 1.0)]
+    df = spark.createDataFrame(rows, "v double, w double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.9, 0.98, 1.0]
-    for small in (1_000_000, 500):
-        got = od.exact_quantiles(df, ["v"], probs, small=small, accuracy=200)["v"]
-        assert np.allclose(got, np.percentile(values, [p * 100 for p in probs]), atol=1e-9)
-
-
-def test_curve_in_blocks_equals_one_window(spark, monkeypatch):
-    df = spark.range(5000).select(
-        "id", (F.pmod(F.col("id") * 7919, F.lit(613)) / 613.0).alias("score"),
-        (F.pmod("id", F.lit(7)) == 0).cast("int").alias("is_anomaly"))
-    key = lambda d: sorted(tuple(r) for r in d.collect())
-    whole = key(ev.threshold_curve(df))
-    monkeypatch.setattr(od, "SMALL", 10)
-    assert key(ev.threshold_curve(df)) == whole
+    few = np.array([w for _, w in rows if w is not None])
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for accuracy in (200, 10_000):
+            got = od.exact_quantiles(df, ["v", "w"], probs, accuracy=accuracy)
+            for c, want in (("v", values), ("w", few)):
+                assert np.allclose(got[c], np.percentile(want, [p * 100 for p in probs]), atol=1e-9)
+        # brackets that miss are found out and widened
+        select = od._select
+        calls = []
+
+        def narrow(data, wanted):
+            calls.append(wanted)
+            return select(data, {k: (99.0, 99.0, r) for k, (_, _, r) in wanted.items()} if len(calls) == 1 else wanted)
+
+        monkeypatch.setattr(od, "_select", narrow)
+        assert np.allclose(od.exact_quantiles(df, ["v"], [0.5])["v"], np.median(values))
+        assert len(calls) == 2
+        assert od.exact_quantiles(df.limit(0), ["v"], [0.5]) == {"v": [None]}
+        assert od.exact_quantiles(df.where("v = 0.25").limit(1), ["v"], [0.1, 0.9]) == {"v": [0.25, 0.25]}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_curve_in_ranges(spark, parts):
+    rows = [(i, (i * 7919 % 613) / 613.0, int(i % 7 == 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, score double, is_anomaly int")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.threshold: (r.tp, r.fp, r.positives, r.negatives) for r in ev.threshold_curve(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    p = sum(y for _, _, y in rows)
+    for cut in {s for _, s, _ in rows}:
+        tp = sum(y for _, s, y in rows if s >= cut)
+        assert got[cut] == (tp, sum(s >= cut for _, s, _ in rows) - tp, p, 5000 - p)
+    assert ev.threshold_curve(df.limit(0)).collect() == []
+
+
+def test_one_vs_rest_auc(spark):
+    rng = random.Random(5)
+    names = ["a", "b", "c", "never"]
+    rows = [(rng.choice(names[:3]), [rng.randint(0, 9) / 10 for _ in names]) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (None, [0.1] * 4), ("a", None)], "label string, scores array<double>")
+    got = {r["class"]: r.roc_auc for r in ev.one_vs_rest_auc(df, classes=names).collect()}
+    want = {}
+    for k, name in enumerate(names[:3]):
+        pos, neg = [s[k] for y, s in rows if y == name], [s[k] for y, s in rows if y != name]
+        want[name] = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+    want["(macro)"] = sum(want.values()) / 3
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert ev.one_vs_rest_auc(df.limit(0), classes=names).collect() == []
 
 
 def test_thresholds(spark):

@@ -1,134 +1,102 @@
-"""Running totals and exact quantiles over data of any size.
+"""Running totals and exact quantiles over data of any size, by one plan each.
 
-Neither sends all rows through one task: running totals work inside value blocks and add the totals
-of the earlier blocks, quantiles narrow a value bracket with cheap passes before anything is sorted.
-Below a checked row count the plain built-in form is used.
+Running totals: rows are dealt into ranges of the order, whose bounds come from a sample, and written; totals run
+inside a range and start at the sum of the ranges before it. Quantiles: one scan sketches all columns, which
+brackets every wanted rank within the sketch's error; a second scan counts what lies below each bracket and the
+distinct values inside, and running totals over those pick the ranks. Neither sends all rows through one task.
 """
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-SMALL = 200_000
-GROUPS = 32
+from ..session import work_dir
 
+#: the sketch's rank error is at most 1 / ACCURACY of the rows
+ACCURACY = 10_000
 
-def _block_of(value: Column, bounds: list[float]) -> Column:
-    """Position of ``value`` among sorted bounds, looked up in two levels."""
-    coarse = bounds[GROUPS - 1::GROUPS]
-    fine = [bounds[i:i + GROUPS - 1] for i in range(0, len(bounds), GROUPS)]
-    fine += [[]] * (len(coarse) + 1 - len(fine))
-    lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
-    below = lambda xs: F.size(F.filter(xs, lambda x: x < value))
-    top = below(lits(coarse))
-    parts = F.array(*[lits(xs) for xs in fine])
-    return top * GROUPS + below(F.element_at(parts, (top + 1).cast("int")))
+
+def in_ranges(df: DataFrame, by: list[str], order: str, descending: bool = False) -> DataFrame:
+    """``df`` written in ranges of (by, order), with the range's number as ``_range``."""
+    way = F.desc(order) if descending else F.asc(order)
+    ranged = df.repartitionByRange(*[F.asc(c) for c in by], way).withColumn("_range", F.spark_partition_id())
+    path = work_dir(df.sparkSession, "ranges")
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = False,
-                   stats: dict[str, Column] | None = None):
-    """Inclusive running sums of ``sums`` along ``order`` (unique, not null).
+                   by: list[str] | None = None) -> DataFrame:
+    """``df`` with inclusive running sums ``cum_<name>`` of ``sums`` along ``order``, and whole sums ``all_<name>``.
 
-    Returns the frame with ``cum_<name>`` columns and a dict of the requested whole-table
-    aggregates, which are taken in the same small first pass.
+    ``order`` is unique within the groups ``by``. An empty table stays empty.
     """
-    spark = df.sparkSession
-    blocks = max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    asked = {**(stats or {}), "_n": F.count(F.lit(1)),
-             "_b": F.percentile_approx(F.col(order).cast("double"), probs, F.lit(10_000))}
-    first = df.agg(*[c.alias(k) for k, c in asked.items()]).first()
-    totals = {k: first[k] for k in (stats or {})}
+    by = by or []
     way = F.desc(order) if descending else F.asc(order)
-    if (first["_n"] or 0) <= SMALL:
-        w = Window.orderBy(way).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums}), totals
-    bounds = sorted(set(first["_b"]))
-    placed = df.withColumn("_block", _block_of(F.col(order).cast("double"), bounds))
-    # at most 1024 rows: one total per block
-    per_block = placed.groupBy("_block").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    earlier = Window.orderBy(F.desc("_block") if descending else F.asc("_block")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = per_block.select("_block", *[
-        F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums])
-    inside = Window.partitionBy("_block").orderBy(way).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = placed.join(F.broadcast(offsets), "_block").withColumns(
-        {f"cum_{s}": F.sum(s).over(inside) + F.col(f"_o_{s}") for s in sums})
-    return out.drop("_block", *[f"_o_{s}" for s in sums]), totals
+    rows = in_ranges(df, by, order, descending)
+    # one row per range, and per group within it
+    per_range = rows.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_range.select(*by, "_range", *[x for s in sums for x in (
+        F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}"),
+        F.sum(f"_t_{s}").over(group).alias(f"all_{s}"))])
+    inside = Window.partitionBy(*by, "_range").orderBy(way).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums}).alias("r")
+    same = F.col("r._range") == F.col("s._range")
+    for c in by:
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return placed.join(starts.alias("s"), same).select(
+        *[F.col(f"r.{c}") for c in df.columns],
+        *[(F.col(f"cum_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums], *[f"all_{s}" for s in sums])
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    small: int = 1_000_000, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; nulls and NaN are left out."""
-    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-                       for c in columns])
-    step = 2.0 / accuracy
-    marks = [min(1.0, max(0.0, p + d)) for p in probs for d in (-step, step)]
-    ask = []
-    for c in columns:
-        ask += [F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
-                F.percentile_approx(c, F.array(*[F.lit(m) for m in marks]),
-                                    F.lit(accuracy)).alias(f"q_{c}")]
-    row = data.agg(*ask).first()
-    if max(row[f"n_{c}"] for c in columns) <= small:
-        got = data.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                         for c in columns]).first()
-        return {c: list(got[c]) if got[c] is not None else [None] * len(probs) for c in columns}
-
-    todo = {}
+    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    # twice the sketch's error, so that the ends of a bracket lie outside the wanted rank
+    margin = 2.0 / accuracy
+    marks = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs for d in (-margin, margin)])
+    row = data.agg(*[x for c in columns for x in (
+        F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
+        F.percentile_approx(c, marks, F.lit(accuracy)).alias(f"q_{c}"))]).first()
+    wanted, whole = {}, {}
     for c in columns:
         n = row[f"n_{c}"]
-        for i, p in enumerate(probs):
-            if n:
-                lo = row[f"lo_{c}"] if p - step <= 0 else row[f"q_{c}"][2 * i]
-                hi = row[f"hi_{c}"] if p + step >= 1 else row[f"q_{c}"][2 * i + 1]
-                todo[(c, i)] = [lo, hi, p * (n - 1)]
-    out = {c: [None] * len(probs) for c in columns}
-    for (c, i), value in _select_ranks(data, todo, row, small, accuracy).items():
-        out[c][i] = value
-    return out
+        for i, p in enumerate(probs if n else []):
+            low, high = row[f"q_{c}"][2 * i:2 * i + 2]
+            whole[c, i] = (row[f"lo_{c}"], row[f"hi_{c}"], p * (n - 1))
+            # neighbouring ranks lie within the margin once it spans two rows
+            resolved = n * margin >= 2
+            wanted[c, i] = (low if resolved and p > margin else row[f"lo_{c}"],
+                            high if resolved and p + margin < 1 else row[f"hi_{c}"], p * (n - 1))
+    found = _select(data, wanted)
+    missed = {k: whole[k] for k in wanted if k not in found}
+    if missed:
+        # never so within the sketch's bound; the whole range holds every rank
+        found |= _select(data, missed)
+    return {c: [found.get((c, i)) for i in range(len(probs))] for c in columns}
 
 
-def _select_ranks(data: DataFrame, todo: dict, row, small: int, accuracy: int) -> dict:
-    """Values at fractional ranks, given a starting bracket for each."""
-    keys = list(todo)
-    for _ in range(4):
-        counts = data.agg(*[x for j, (c, i) in enumerate(keys) for x in (
-            F.count_if(F.col(c) < F.lit(todo[(c, i)][0])).alias(f"below{j}"),
-            F.count_if(F.col(c).between(*todo[(c, i)][:2])).alias(f"in{j}"),
-            F.percentile_approx(F.when(F.col(c).between(*todo[(c, i)][:2]), F.col(c)), F.array(*[
-                F.lit(k / 64) for k in range(65)]), F.lit(accuracy)).alias(f"cut{j}"))]).first()
-        wide = False
-        for j, key in enumerate(keys):
-            lo, hi, rank = todo[key]
-            below, inside, cuts = counts[f"below{j}"], counts[f"in{j}"], counts[f"cut{j}"]
-            c = key[0]
-            if not (below <= math.floor(rank) and math.ceil(rank) < below + inside):
-                todo[key] = [row[f"lo_{c}"], row[f"hi_{c}"], rank]
-                wide = True
-            elif inside > small and lo < hi:
-                at = (rank - below) / inside * 64
-                todo[key] = [cuts[max(0, math.floor(at) - 1)], cuts[min(64, math.ceil(at) + 1)],
-                             rank]
-                wide = True
-        if not wide:
-            break
-    targets = F.array(*[F.struct(
-        F.lit(j).alias("k"), F.when(F.col(c).between(*todo[(c, i)][:2]), F.col(c)).alias("v"))
-        for j, (c, i) in enumerate(keys)])
-    hits = data.select(F.explode(F.filter(targets, lambda t: t["v"].isNotNull())).alias("t")).select(
-        "t.*").groupBy("k", "v").agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                         Window.currentRow)
-    below = data.agg(*[F.count_if(F.col(c) < F.lit(todo[(c, i)][0])).alias(str(j))
-                       for j, (c, i) in enumerate(keys)]).first()
-    table = F.create_map(*[x for j, key in enumerate(keys) for x in (
-        F.lit(j), F.array(F.lit(float(math.floor(todo[key][2]) - below[str(j)])),
-                          F.lit(float(math.ceil(todo[key][2]) - below[str(j)]))))])
-    ranked = hits.withColumn("c", F.sum("m").over(w)).withColumn("r", table[F.col("k")])
-    take = lambda n: F.max(F.when((F.col("c") - F.col("m") <= F.col("r")[n])
-                                  & (F.col("r")[n] < F.col("c")), F.col("v")))
-    got = ranked.groupBy("k").agg(take(0).alias("a"), take(1).alias("b")).collect()
-    return {keys[g["k"]]: g["a"] + (g["b"] - g["a"]) * (todo[keys[g["k"]]][2] % 1) for g in got}
+def _select(data: DataFrame, wanted: dict[tuple[str, int], tuple[float, float, float]]) -> dict:
+    """Values at the fractional ranks of ``wanted`` (low, high, rank) that lie in their brackets."""
+    if not wanted:
+        return {}
+    keys = list(wanted)
+    # a value below its bracket is counted as null, which sorts first
+    places = F.array(*[F.when(F.col(c) <= wanted[c, i][1], F.struct(
+        F.lit(k).alias("k"), F.when(F.col(c) >= wanted[c, i][0], F.col(c)).alias("v"))) for k, (c, i) in enumerate(keys)])
+    counts = data.select(F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")) \
+        .groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("m"))
+    ranks = F.create_map(*[x for k, key in enumerate(keys) for x in (F.lit(k), F.array(
+        F.lit(math.floor(wanted[key][2])), F.lit(math.ceil(wanted[key][2]))))])
+    totals = running_totals(counts, "v", ["m"], by=["k"]).withColumn("r", ranks[F.col("k")])
+    at = lambda j: F.max(F.when((F.col("cum_m") - F.col("m") <= F.col("r")[j])
+                                & (F.col("r")[j] < F.col("cum_m")), F.col("v")))
+    out = {}
+    for r in totals.groupBy("k").agg(at(0).alias("a"), at(1).alias("b")).collect():
+        if r["a"] is not None and r["b"] is not None:
+            out[keys[r["k"]]] = r["a"] + (r["b"] - r["a"]) * (wanted[keys[r["k"]]][2] % 1)
+    return out

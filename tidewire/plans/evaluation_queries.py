@@ -79,6 +79,28 @@ def class_report(spark, sf):
     return ev.class_report(predicted(spark, sf))
 
 
+CATEGORIES = ["banking", "delivery", "government", "medical", "other"]
+
+
+def _score_sql(k: int) -> str:
+    return f"((id * {37 + 10 * k} + {k}) % 101 + CASE WHEN category = '{CATEGORIES[k]}' THEN 13 ELSE 0 END)::DOUBLE"
+
+
+@query("class_auc", sql(MSG, "scored AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS class, category = '{c}' AS hit, {_score_sql(k)} AS score FROM msg" for k, c in enumerate(CATEGORIES))
+    + "), ranked AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS r FROM scored)",
+    f"""per AS (SELECT class, count(*) FILTER (hit) AS positives, count(*) FILTER (NOT hit) AS negatives,
+  (sum(r) FILTER (hit) - count(*) FILTER (hit) * (count(*) FILTER (hit) + 1) / 2.0) / (count(*) FILTER (hit) * count(*) FILTER (NOT hit)) AS auc
+  FROM ranked GROUP BY class)""", body=f"""
+SELECT class, positives, negatives, {R('auc')} AS roc_auc FROM per
+UNION ALL SELECT '(macro)', sum(positives)::BIGINT, sum(negatives)::BIGINT, {R('avg(auc)')} FROM per"""))
+def class_auc(spark, sf):
+    """One-vs-rest area under the ROC curve of every category, and their mean."""
+    rows = message_rows(spark, sf).select("category", F.array(*[F.expr(
+        _score_sql(k).replace("::DOUBLE", "")).cast("double") for k in range(len(CATEGORIES))]).alias("scores"))
+    return ev.one_vs_rest_auc(rows, "category", "scores", CATEGORIES)
+
+
 @query("confusion_matrix", sql(MSG, PRED_SQL, body="""
 SELECT y AS label, """ + ", ".join(f"count(*) FILTER (p = '{c}') AS {c}" for c in
                                    ["banking", "delivery", "government", "medical", "other"])
