@@ -39,5 +39,5 @@ def test_classifiers_search_the_whole_grid(spark, monkeypatch, query):
     seen = _arguments(monkeypatch, cl, "train", lambda: getattr(mq, query)(spark, "/root/testdata/sf0.001"))
     grid = cl.GRIDS if seen["grids"] is None else seen["grids"]
     assert grid == {"logistic_regression": {"C": [0.01, 0.1, 1.0, 10.0], "vocabulary": [1000, 3000]},
-                    "svm": {"C": [0.1, 1.0, 10.0]}}
-    assert (seen["folds"], seen["max_iter"], seen["size"]) == (5, 1000, 2000)
+                    "svm": {"C": [0.1, 1.0, 10.0], "loss": ["hinge", "squared_hinge"]}}
+    assert (seen["folds"], seen["max_iter"], seen["size"], seen["least"]) == (5, 1000, 2000, 10)

@@ -130,10 +130,10 @@ def labelled_messages(spark, sf) -> DataFrame:
 
 @query("training_rows", sql(MSG, LABELLED, body="""
 SELECT id, category FROM lab WHERE is_anomaly = 0 AND category IN (
-  SELECT category FROM lab WHERE is_anomaly = 0 GROUP BY category HAVING count(*) >= 1900)"""))
+  SELECT category FROM lab WHERE is_anomaly = 0 GROUP BY category HAVING count(*) >= 10)"""))
 def training_rows(spark, sf):
     """Normal rows of frequent categories."""
-    return cl.training_rows(labelled_messages(spark, sf), least=1900).select("id", "category")
+    return cl.training_rows(labelled_messages(spark, sf)).select("id", "category")
 
 
 @query("class_weights", sql(MSG, body=f"""
@@ -145,26 +145,25 @@ def class_weights(spark, sf):
         F.count(F.lit(1)).alias("total"), F.first("weight").alias("weight"))
 
 
-#: limit of the optimiser's steps
-MAX_ITER = 1000
+def trained(spark, sf) -> dict:
+    rows = cut_lineage(labelled_messages(spark, sf).select(
+        "id", "timestamp", "source_addr", "category", "message_text", "is_anomaly"), "training")
+    return {"rows": rows, **cl.train(rows)}
 
 
 @query("classifier_report")
 def classifier_report(spark, sf):
     """Train both model families, then report the better one on the held-out rows."""
-    rows = cut_lineage(labelled_messages(spark, sf).select(
-        "id", "timestamp", "source_addr", "category", "message_text", "is_anomaly"), "training")
-    fitted = cl.train(rows, max_iter=MAX_ITER)
-    done = fitted["model"].transform(fitted["test_rows"])
-    return ev.class_report(done, "category", "predicted_category")
+    return ev.class_report(trained(spark, sf)["test"], "category", "predicted_category")
 
 
 @query("classifier_predictions")
 def classifier_predictions(spark, sf):
-    """Predicted category and confidence of every message."""
-    rows = cut_lineage(labelled_messages(spark, sf).select(
-        "id", "timestamp", "source_addr", "category", "message_text", "is_anomaly"), "training")
-    fitted = cl.train(rows, max_iter=MAX_ITER)
-    return cl.predict(rows.select("id", "timestamp", "source_addr", "message_text"),
-                      fitted["model"]).select("id", "predicted_category", "confidence")
-
+    """Predicted category and confidence of every message, by the trained model as stored and loaded again."""
+    from ..session import work_dir
+    fitted = trained(spark, sf)
+    path = work_dir(spark, "classifier")
+    store.save_classifier(spark, fitted["model"], path, fitted["scores"])
+    model, _ = store.load_classifier(spark, path)
+    return cl.predict(fitted["rows"].select("id", "timestamp", "source_addr", "message_text"), model) \
+        .select("id", "predicted_category", "confidence")
