@@ -17,10 +17,12 @@ def unit(n, command=4, length=None):
 
 
 def flows():
-    """flow -> byte strings of its units in order, damaged ones with a length below 16."""
+    """flow -> byte strings of its units in order, damaged ones with a length too small or too large."""
     rng = random.Random(9)
     out = {"one": [unit(9), unit(30, length=3), unit(7), unit(8), unit(5)], "start": [unit(4, length=0), unit(6)],
-           "end": [unit(6), unit(50, length=15)], "short": [unit(3), b"\0\0\0\5" + b"\xff" * 5, unit(2), b"\0\0\0\1"]}
+           "end": [unit(6), unit(50, length=15)], "short": [unit(3), b"\0\0\0\5" + b"\xff" * 5, unit(2), b"\0\0\0\1"],
+           "huge": [unit(9), unit(20, length=1 << 31), unit(7), unit(70_001 - 16), b"\xff" * 900, unit(9)],
+           None: [unit(20), unit(11, length=2), unit(5)], "part": [unit(3), unit(60)[:40]]}
     for k in range(2):
         out[f"r{k}"] = [unit(rng.randrange(200), length=rng.choice((None, None, None, rng.randrange(16))))
                         for _ in range(80)] + [b"\0\0\0"] * (k % 2)
@@ -32,23 +34,25 @@ def packets(spark, rng):
     for flow, units in flows().items():
         data, at = b"".join(units), 0
         while at < len(data):
-            step = rng.randrange(1, 60)
+            step = rng.randrange(1, 60) if flow != "huge" else rng.randrange(1, 5000)
             rows.append((pid, T0 + dt.timedelta(milliseconds=pid * 40), flow, 1, "x", 2775, data[at:at + step]))
             at, pid = at + step, pid + 1
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def expected(units):
+def expected(units, longest=pd_.LONGEST):
     """(start, bytes, damaged), read byte by byte."""
     data, at, out = b"".join(units), 0, []
     while at + 16 <= len(data):
         length = int.from_bytes(data[at:at + 4], "big")
-        to = at + length
-        if length < 16:
-            to = next((q for q in range(at + 1, len(data) - 7) if 16 <= int.from_bytes(data[q:q + 4], "big") <= 70_000
-                       and int.from_bytes(data[q + 4:q + 8], "big") in config.COMMANDS), len(data))
-        if to <= len(data):
-            out.append((at, data[at:to], length < 16))
+        to, bad = at + length, not 16 <= length <= longest
+        if bad:
+            to = min(len(data), at + longest, next(
+                (q for q in range(at + 1, len(data) - 7) if 16 <= int.from_bytes(data[q:q + 4], "big") <= longest
+                 and int.from_bytes(data[q + 4:q + 8], "big") in config.COMMANDS), len(data)))
+        if to > len(data):
+            break
+        out.append((at, data[at:to], bad))
         at = to
     return out
 
@@ -57,18 +61,31 @@ def found(rows, flow):
     return sorted((r["unit_start"], bytes(r["raw"]), r["error"] is not None) for r in rows if r["src_ip"] == flow)
 
 
-def test_damaged_units(spark):
+def test_damaged_units(spark, monkeypatch):
+    monkeypatch.setattr(pd_, "FAN", 3)  # tables are put together over several levels
     p = packets(spark, random.Random(2)).cache()
     wanted = {flow: expected(units) for flow, units in flows().items()}
     assert [w[2] for w in wanted["one"]] == [False, True, False, False, False]
-    for size in (1 << 25, 600, 1):
-        out = pd_.frame_pdus(p, segment_bytes=size, slice_s=1)
-        rows = out.collect()
-        for flow in wanted:
-            assert found(rows, flow) == wanted[flow], (size, flow)
+    assert [w[2] for w in wanted["huge"]] == [False, True, False, True, True, False]
+    for size, longest in ((1 << 25, pd_.LONGEST), (60_000, pd_.LONGEST), (600, 250), (97, 60), (40, 20)):
+        rows = pd_.frame_pdus(p, segment_bytes=size, longest=longest).collect()
+        for flow, units in flows().items():
+            if longest < 100 and flow == "huge":
+                continue
+            assert found(rows, flow) == expected(units, longest), (size, flow)
     counted = pd_.capture_counts(p, pd_.frame_pdus(p)).first()
     assert counted.parse_errors == sum(w[2] for v in wanted.values() for w in v)
     assert counted.pdus_parsed == sum(not w[2] for v in wanted.values() for w in v)
+    assert pd_.frame_pdus(p.limit(0)).collect() == []
+
+
+def test_odd_packets(spark):
+    whole = b"".join([unit(30), unit(9), unit(41)])
+    rows = [(None, None, "a", 1, "x", None, whole[:20]), (2, T0, "a", 1, "x", None, whole[20:50]), (3, T0, "a", 1, "x", None, b""),
+            (3, T0, "a", 1, "x", None, None), (4, T0, "a", 1, "x", None, whole[50:])]
+    got = pd_.frame_pdus(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [bytes(r["raw"]) for r in sorted(got, key=lambda r: r["unit_start"])] == [unit(30), unit(9), unit(41)]
+    assert {r["dst_port"] for r in got} == {None}
 
 
 def test_damaged_units_in_a_stream(spark, tmp_path):

@@ -149,7 +149,7 @@ def test_framing_segments(spark):
               "dst_port int, payload binary")
     df = spark.createDataFrame(rows, schema)
     for size in (1 << 25, 900):
-        out = pd_.frame_pdus(df, segment_bytes=size, slice_s=1).collect()
+        out = pd_.frame_pdus(df, segment_bytes=size).collect()
         for flow, ns in sizes.items():
             mine = sorted((r["unit_start"], bytes(r["raw"])) for r in out if r["src_ip"] == flow)
             assert [raw for _, raw in mine] == [unit(n) for n in ns]

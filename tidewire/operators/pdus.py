@@ -2,14 +2,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..functions import pdu as pf, sender as sn, text as tx
 from ..functions.chars import JSPACE
 from ..session import cut_lineage
 from ..sources.tables import with_pdu_defaults
+from .ordered import running_totals
 
 FLOW = ["src_ip", "src_port", "dst_ip", "dst_port"]
 PORT = 2775
@@ -148,200 +150,138 @@ def capture_counts(packets: DataFrame, units: DataFrame) -> DataFrame:
 
 # ---- framing ----------------------------------------------------------------------------------
 #
-# The unit boundaries of a flow form a chain, each unit saying where the next one starts. A flow of
-# any size is cut into segments of bounded bytes that are scanned in parallel:
-#   1. every segment looks for a plausible first boundary and follows the chain to its end;
-#   2. a walk over the per-segment results (no payload) compares the boundary a segment assumed with
-#      the one its predecessor arrives at; wrong segments are scanned again from the right place;
-#   3. every segment cuts its units; pieces of units that cross segments are put together by key.
-# A length below 16 cannot hold its own header: such a damaged unit ends at the next plausible header,
-# which its first eight bytes tell, so that segments agree on it wherever they are cut.
-
-_KEYS = FLOW + ["segment"]
+# The unit boundaries of a flow form a chain, each unit saying where the next one starts. No unit is longer than
+# ``longest`` bytes: a length field below 16 or beyond that is damage, which ends at the next plausible header or after
+# ``longest`` bytes. So where a chain goes on from a place is told by the bytes of the next ``longest``, and a flow of
+# any size is cut into segments of bounded bytes, each with as many bytes of what follows:
+#   1. every segment gives a table that says where a chain that enters it at any place comes out behind it;
+#   2. tables of neighbours are put one after the other, group by group, until a flow has few left; walking down again
+#      tells where the flow's own chain enters each segment;
+#   3. every segment cuts the units that start in it.
+
 _FLOW_TYPES = "src_ip string, src_port int, dst_ip string, dst_port int"
 
+LONGEST = 70_000
+HEADER = 16
+#: tables that are put together at once
+FAN = 128
 
-_HEADER = re.compile(rb"(?=\x00[\x00\x01]..(?:" + b"|".join(
+_COMMAND = re.compile(rb"(?=...." + rb"(?:" + b"|".join(
     re.escape(c.to_bytes(4, "big")) for c in config.COMMANDS) + rb"))", re.DOTALL)
-LONGEST = 70_000
 
 
-def next_header(data: bytes, pos: int) -> int | None:
-    """First offset from ``pos`` with a believable length and a known command."""
-    for found in _HEADER.finditer(data, pos):
-        if 16 <= int.from_bytes(data[found.start():found.start() + 4], "big") <= LONGEST:
-            return found.start()
-    return None
+def plausible_headers(data: bytes, longest: int = LONGEST) -> list[int]:
+    """All offsets with a believable length and a known command."""
+    return [m.start() for m in _COMMAND.finditer(data)
+            if HEADER <= int.from_bytes(data[m.start():m.start() + 4], "big") <= longest]
 
 
-def follow_chain(data: bytes, pos: int, mend: bool = True) -> tuple[list[int], int, bool]:
-    """Boundaries from ``pos`` while whole headers remain; then the next boundary, and lost.
+def step(data: bytes, heads: list[int], pos: int, longest: int = LONGEST) -> tuple[int, bool]:
+    """Where the piece at ``pos`` ends, and whether it is damaged; ``heads`` are the plausible headers.
 
-    A damaged unit ends at the next plausible header; if there is none, or without ``mend``, the chain
-    is lost at that unit, which is the next boundary.
+    The end of a unit may lie behind the data, that of damage does not.
     """
-    found, n = [], len(data)
-    while pos + 16 <= n:
-        length = int.from_bytes(data[pos:pos + 4], "big")
-        if length < 16:
-            after = next_header(data, pos + 1) if mend else None
-            if after is None:
-                return found, pos, True
-            found.append(pos)
-            pos = after
-        else:
-            found.append(pos)
-            pos += length
-    return found, pos, False
+    length = int.from_bytes(data[pos:pos + 4], "big") if pos + 4 <= len(data) else 0
+    if HEADER <= length <= longest:
+        return pos + length, False
+    k = bisect_right(heads, pos)
+    end = min(pos + longest, max(len(data), pos + 1))
+    return min(end, heads[k]) if k < len(heads) else end, True
 
 
-def plausible_entry(data: bytes) -> int | None:
-    """First offset that looks like a header and whose chain keeps looking like headers."""
+def jump_table(data: bytes, size: int, longest: int = LONGEST):
+    """For every offset below ``longest`` where a chain may enter: the offset behind ``size`` where it comes out."""
     import numpy as np
-    b = np.frombuffer(data, dtype=np.uint8)[:1 << 17].astype(np.int64)
-    m = len(b) - 7
-    if m < 1:
-        return None
-    word = lambda k: sum(b[k + i:k + i + m] << (24 - 8 * i) for i in range(4))
-    length = word(0)
-    good = (length >= 16) & (length <= LONGEST) & np.isin(word(4), list(config.COMMANDS))
-    for start in np.nonzero(good)[0]:
-        chain, _, broken = follow_chain(data[start:start + (1 << 20)], 0, mend=False)
-        commands = {int.from_bytes(data[start + c + 4:start + c + 8], "big") for c in chain}
-        if not broken and commands <= config.COMMANDS.keys():
-            return int(start)
-    return None
-
-
-def _stream(pdf):
+    heads, out = plausible_headers(data, longest), {}
+    for entry in range(min(longest, size)):
+        path, pos = [], entry
+        while pos < size and pos not in out:
+            path.append(pos)
+            pos, _ = step(data, heads, pos, longest)
+        end = out[pos] if pos < size else min(pos - size, longest - 1)
+        out.update(dict.fromkeys(path, end))
+    table = np.arange(longest, dtype=np.int32) - size
+    table[:min(longest, size)] = [out[e] for e in range(min(longest, size))]
+    return table
+
+
+def _segment(pdf, width: int, longest: int):
+    """Bytes of a segment and of what follows it, its own size, its first offset, packet ends and times."""
     import numpy as np
-    pdf = pdf.sort_values(["us", "seq"], kind="stable")
-    return (b"".join(pdf["payload"]), np.cumsum([len(x) for x in pdf["payload"]]),
-            pdf["us"].to_numpy())
+    pdf = pdf.sort_values("start")
+    first, origin = int(pdf["segment"].iloc[0]) * width, int(pdf["start"].iloc[0])
+    data = b"".join(pdf["payload"])[first - origin:][:width + longest + HEADER]
+    ends = np.cumsum([len(x) for x in pdf["payload"]]) + origin
+    return data, min(width, int(pdf["total"].iloc[0]) - first), first, ends, pdf["us"].to_numpy()
 
 
-def _key(pdf) -> dict:
-    return {c: pdf[c].iloc[0] for c in _KEYS}
+def _tables(width: int, longest: int):
+    def run(pdf):
+        import pandas as pd
+        data, size, *_ = _segment(pdf, width, longest)
+        return pd.DataFrame({"flow": pdf["flow"].iloc[:1], "segment": pdf["segment"].iloc[:1],
+                             "jumps": [jump_table(data, size, longest).tobytes()]})
+    return run
 
 
-def _scan(pdf):
+def _compose(key, pdf):
+    """One table for the neighbouring segments of a group."""
+    import numpy as np
     import pandas as pd
-    data, _, _ = _stream(pdf)
-    start = int(pdf["start"].iloc[0])
-    given = pdf["given"].iloc[0] if "given" in pdf.columns else None
-    if given is not None and not pd.isna(given):
-        entry = int(given) - start
-    else:
-        entry = 0 if start == 0 else plausible_entry(data)
-    row = {**_key(pdf), "start": start, "stop": start + len(data), "entry": -1, "next": -1,
-           "last": -1, "lost": False, "head": data[:16], "tail": b"", "sync": -1, "final": data[-7:]}
-    sync = next_header(data, 0)
-    if sync is not None:
-        row["sync"] = sync + start
-    if entry is not None:
-        marks, at, lost = follow_chain(data, entry)
-        row.update(entry=entry + start, next=at + start, lost=lost, tail=data[at:][:16],
-                   last=marks[-1] + start if marks else -1)
-    order = [*_KEYS, "start", "stop", "entry", "next", "last", "lost", "head", "tail", "sync", "final"]
-    return pd.DataFrame([row])[order]
+    pdf = pdf.sort_values("segment")
+    table = None
+    for jumps in pdf["jumps"]:
+        jumps = np.frombuffer(jumps, np.int32)
+        table = jumps if table is None else jumps[table]
+    return pd.DataFrame({"flow": [key[0]], "segment": [key[1]], "jumps": [table.tobytes()]})
 
 
 def _walk(pdf):
-    """Per segment: the unit open at its start, the first boundary after that, its state, and the turn.
-
-    The turn is the boundary in the segment that only the next one's bytes tell: the end of a damaged
-    unit at a header that lies across both.
-    """
-    import pandas as pd
-    rows, at, carry, state, unit = [], 0, b"", "ok", -1
-    for r in pdf.sort_values("segment").itertuples(index=False):
-        row = {**{c: getattr(r, c) for c in _KEYS}, "opened": unit, "first": -1, "state": "ok", "turn": -1,
-               "start": r.start, "stop": r.stop}
-        rows.append(row)
-        head, known = bytes(r.head), state != "unknown"
-        # until the next boundary is known: a header across segments, or a damaged unit that goes on
-        while known and (state == "lost" or at < r.start):
-            joined = carry + head
-            base = r.start - len(carry)
-            if state == "lost":
-                found = next_header(joined, max(0, unit + 1 - base))
-                if found is not None and base + found < r.start:
-                    at = unit = base + found
-                    carry, state = carry[found:], "ok"
-                    for back in rows:
-                        if back["start"] <= at < back["stop"]:
-                            back["turn"] = at
-                        elif back["start"] > at:
-                            back["opened"] = at
-                elif r.sync >= 0:
-                    at, carry, state = r.sync, b"", "ok"
-                else:
-                    carry, known = (carry + bytes(r.final))[-7:], False
-            elif len(joined) < 16:
-                carry, known = joined, False
-            else:
-                length = int.from_bytes(joined[:4], "big")
-                if length < 16:
-                    state, unit = "lost", at
-                else:
-                    at, carry = at + length, b""
-        if state == "unknown":
-            row["state"] = "unknown"
-        elif known:
-            row["first"] = at
-            if at < r.stop and r.entry != at:
-                row["state"], state = "rescan", "unknown"
-            elif at < r.stop:
-                at = r.next
-                if r.lost:
-                    state, unit, carry = "lost", at, bytes(r.final)
-                else:
-                    carry = bytes(r.tail) if at < r.stop else b""
-                    unit = at if at < r.stop else r.last
-            if at == r.stop and state == "ok":
-                unit = -1
-    return pd.DataFrame(rows)[[*_KEYS, "opened", "first", "state", "turn"]]
-
-
-def _cut(pdf, whole: bool, alone: bool):
-    """Units that lie in the segment, or the pieces of units that cross its borders.
-
-    ``done`` tells that a piece is the last one of its unit. With ``alone`` the segment is the flow.
-    """
+    """Where the chain enters each segment, given where it enters the first."""
     import numpy as np
     import pandas as pd
-    data, ends, us = _stream(pdf)
-    one = pdf.iloc[0]
-    start, first, turn = int(one["start"]), int(one["first"]), int(one["turn"])
-    stop, out = start + len(data), []
-
-    def add(unit: int, a: int, b: int, done: bool = True) -> None:
-        if b > a:
-            out.append((unit, a, data[a - start:b - start],
-                        int(us[np.searchsorted(ends, b - start)]), done))
-
-    rest = stop if turn < 0 else turn
-    if not whole and one["opened"] >= 0:
-        if first < 0:
-            add(int(one["opened"]), start, rest, turn >= 0)
-        else:
-            add(int(one["opened"]), start, min(first, stop), first <= stop)
-    if start <= first < stop:
-        marks, after, lost = follow_chain(data, first - start)
-        marks = [m + start for m in marks] + [after + start]
-        for a, b in zip(marks, marks[1:]):
-            if whole and b <= stop:
-                add(a, a, b)
-            elif not whole and b > stop:
-                add(a, a, stop, False)
-        if marks[-1] < stop and (alone and lost if whole else True):
-            add(marks[-1], marks[-1], rest, turn >= 0)
-    if not whole and turn >= 0:
-        add(turn, turn, stop, False)
-    frame = pd.DataFrame(out, columns=["unit_start", "offset", "raw", "us", "done"])
-    for c in FLOW:
-        frame[c] = one[c]
-    return frame[[*FLOW, "unit_start", "offset", "raw", "us", "done"]]
+    pdf = pdf.sort_values("segment")
+    at, entries = int(pdf["entry"].iloc[0]), []
+    for jumps in pdf["jumps"]:
+        entries.append(at)
+        at = int(np.frombuffer(jumps, np.int32)[at])
+    return pd.DataFrame({"flow": pdf["flow"], "segment": pdf["segment"], "entry": entries})
+
+
+def _entries(tables: DataFrame) -> DataFrame:
+    """flow, segment, entry: composed tables up to few per flow, then walks down to the segments."""
+    levels = [tables]
+    while (levels[-1].agg(F.max("segment")).first()[0] or 0) >= FAN:
+        group = F.expr(f"segment div {FAN}")
+        levels.append(cut_lineage(levels[-1].groupBy("flow", group.alias("_g")).applyInPandas(
+            _compose, "flow string, segment bigint, jumps binary"), "composed"))
+    kind = "flow string, segment bigint, entry int"
+    found = levels[-1].withColumn("entry", F.lit(0)).groupBy("flow").applyInPandas(_walk, kind)
+    for level in reversed(levels[:-1]):
+        above = found.select("flow", F.col("segment").alias("_g"), "entry")
+        found = level.withColumn("_g", F.expr(f"segment div {FAN}")).join(above, ["flow", "_g"]) \
+            .groupBy("flow", "_g").applyInPandas(_walk, kind)
+    return found
+
+
+def _cut(width: int, longest: int):
+    """Units and damage that start in a segment; what the flow does not end is left out."""
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+        data, size, first, ends, us = _segment(pdf, width, longest)
+        heads, out, pos = plausible_headers(data, longest), [], int(pdf["entry"].iloc[0])
+        while pos < size and pos + HEADER <= len(data):
+            after, _ = step(data, heads, pos, longest)
+            if after > len(data):
+                break
+            out.append((first + pos, data[pos:after], int(us[np.searchsorted(ends, first + after)])))
+            pos = after
+        frame = pd.DataFrame(out, columns=["unit_start", "raw", "us"])
+        for c in FLOW:
+            frame[c] = pd.Series([pdf[c].iloc[0]] * len(frame), dtype=object)
+        return frame[[*FLOW, "unit_start", "raw", "us"]]
+    return run
 
 
 def unit_length(raw: str = "raw"):
@@ -349,80 +289,38 @@ def unit_length(raw: str = "raw"):
     return F.conv(F.hex(F.substring(raw, 1, 4)), 16, 10).cast("bigint")
 
 
-def framing_error():
+def framing_error(longest: int = LONGEST):
     """Why a piece of a flow is no unit; null for units."""
-    return F.when((F.octet_length("raw") < 16) | (unit_length() < 16), F.lit("length below 16"))
+    return F.when(unit_length() < HEADER, F.lit("length below 16")).when(
+        unit_length() > longest, F.lit(f"length above {longest}"))
 
 
 def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp",
-               segment_bytes: int = 32 << 20, slice_s: int = 60) -> DataFrame:
+               segment_bytes: int = 32 << 20, longest: int = LONGEST) -> DataFrame:
     """Units of every flow: flow columns, unit_start (byte offset), raw bytes, completion time, error.
 
-    Packets count in (time, ``seq``) order. A unit is complete when all its bytes have arrived; a
-    trailing partial unit is left out. A damaged unit, whose length field is below 16, comes with its
-    bytes up to the next plausible header, or the flow's end, and an ``error``; units have none.
+    Packets count in (time, ``seq``) order, nulls first; equal ones by their bytes. Null flow columns are a flow like
+    any other; packets without bytes do not count. A unit is complete when all its bytes have arrived; a trailing
+    partial unit is left out. Damage, where a length field is below 16 or above ``longest``, comes with its bytes
+    up to the next plausible header, ``longest`` bytes or the flow's end, and an ``error``; units have none.
     """
-    rows = packets.select(
+    size = F.octet_length("payload")
+    rows = packets.where(size > 0).select(
         *[F.col(c).cast("int" if c.endswith("port") else "string").alias(c) for c in FLOW],
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(seq).alias("seq"), "payload")
-    rows = rows.withColumn("slice", F.expr(f"us div {slice_s * 1_000_000}"))
-    run = Window.partitionBy(*FLOW).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per flow and minute
-    plan = rows.groupBy(*FLOW, "slice").agg(F.sum(F.octet_length("payload")).alias("bytes"))
-    plan = plan.withColumn("before", F.coalesce(F.sum("bytes").over(run), F.lit(0))).withColumn(
-        "segment", F.expr(f"before div {segment_bytes}"))
-    plan = cut_lineage(plan.withColumn("start", F.min("before").over(
-        Window.partitionBy(*_KEYS))).drop("bytes", "before"), "segments")
-    placed = rows.join(plan, [*FLOW, "slice"]).drop("slice")
-
-    if (plan.agg(F.max("segment")).first()[0] or 0) == 0:
-        state = plan.select(*_KEYS).distinct().withColumns(
-            {"opened": F.lit(-1), "first": F.lit(0), "state": F.lit("ok"), "turn": F.lit(-1)})
-        split = False
-    else:
-        state, split = _resolve(placed), True
-    ready = placed.join(state, _KEYS)
-    schema = f"{_FLOW_TYPES}, unit_start bigint, offset bigint, raw binary, us bigint, done boolean"
-
-    def cut(whole: bool) -> DataFrame:
-        return ready.groupBy(*_KEYS).applyInPandas(lambda pdf: _cut(pdf, whole, not split), schema)
-
-    done = cut(True).drop("offset", "done")
-    if split:
-        done = done.unionByName(_assemble(cut(False)))
-    return done.select(*FLOW, "unit_start", "raw", F.timestamp_micros("us").alias("timestamp"),
-                       framing_error().alias("error"))
-
-
-def _resolve(placed: DataFrame) -> DataFrame:
-    scan_type = (f"{_FLOW_TYPES}, segment bigint, start bigint, stop bigint, entry bigint, "
-                 "next bigint, last bigint, lost boolean, head binary, tail binary, sync bigint, final binary")
-    walk_type = f"{_FLOW_TYPES}, segment bigint, opened bigint, first bigint, state string, turn bigint"
-    scans = cut_lineage(placed.groupBy(*_KEYS).applyInPandas(_scan, scan_type), "scan")
-    while True:
-        walked = cut_lineage(scans.groupBy(*FLOW).applyInPandas(_walk, walk_type), "walk")
-        again = walked.where("state = 'rescan'").select(*_KEYS, F.col("first").alias("given"))
-        if again.isEmpty():
-            return walked
-        redone = placed.join(again, _KEYS).groupBy(*_KEYS).applyInPandas(_scan, scan_type)
-        scans = cut_lineage(scans.join(again, _KEYS, "left_anti").unionByName(redone), "scan")
-
-
-def _assemble(pieces: DataFrame) -> DataFrame:
-    """Put the pieces of border-crossing units together; unfinished units drop out by size first."""
-    unit = [*FLOW, "unit_start"]
-    size = pieces.groupBy(*unit).agg(
-        F.sum(F.octet_length("raw")).alias("have"), F.max("us").alias("us"), F.max("done").alias("done"),
-        F.min_by(F.struct("raw"), "offset").alias("lead"))
-    # the length field itself may be split over two pieces, so short leads are kept
-    need = F.when(F.octet_length("lead.raw") >= 4, unit_length("lead.raw"))
-    # a damaged unit is whole where the next one starts or the flow ends, but for a partial header
-    complete = lambda have, right: F.when(have >= 16, right).otherwise(F.col("done"))
-    full = size.where(complete(F.col("have"), need.isNull() | (F.col("have") == need) | (need < 16))).select(*unit)
-    joined = pieces.join(full, unit, "left_semi").groupBy(*unit).agg(
-        F.array_sort(F.collect_list(F.struct("offset", "raw"))).alias("p"), F.max("us").alias("us"),
-        F.max("done").alias("done"))
-    raw = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["raw"]))
-    whole = joined.select(*unit, raw.alias("raw"), "us", "done")
-    have, need = F.octet_length("raw"), unit_length()
-    return whole.where(complete(have, (have == need) | (need < 16))).select(*unit, "raw", "us")
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), size.cast("bigint").alias("size"), "payload",
+        F.col(seq).alias("_seq"))
+    rows = rows.select("*", F.to_json(F.struct(*FLOW), {"ignoreNullFields": "false"}).alias("flow"),
+                       F.struct("us", "_seq", F.xxhash64("payload")).alias("_order")).drop("_seq")
+    placed = running_totals(rows, "_order", ["size"], by=["flow"])
+    start, look = F.col("cum_size") - F.col("size"), longest + HEADER
+    # a packet counts in its own segment and in those that look ahead as far as it
+    low = F.greatest(F.lit(0).cast("bigint"), F.floor((start - look) / F.lit(segment_bytes)))
+    high = F.floor((F.col("cum_size") - 1) / F.lit(segment_bytes))
+    placed = placed.select(*FLOW, "flow", "us", "payload", start.alias("start"), F.col("all_size").alias("total"),
+                           F.explode(F.sequence(low, high)).alias("segment"))
+    tables = cut_lineage(placed.groupBy("flow", "segment").applyInPandas(
+        _tables(segment_bytes, longest), "flow string, segment bigint, jumps binary"), "jumps")
+    cut = placed.join(_entries(tables), ["flow", "segment"]).groupBy("flow", "segment").applyInPandas(
+        _cut(segment_bytes, longest), f"{_FLOW_TYPES}, unit_start bigint, raw binary, us bigint")
+    return cut.select(*FLOW, "unit_start", "raw", F.timestamp_micros("us").alias("timestamp"),
+                      framing_error(longest).alias("error"))

@@ -159,52 +159,72 @@ def status_counts(spark, sf):
     return pd_.status_counts(coded_units(spark, sf))
 
 
+DAMAGED = {3: "00000005", 5: "7FFFFFFF"}
+
+
 def packets(spark, sf, size: int = 700) -> DataFrame:
     """The byte stream of every document's units in packets of ``size`` bytes.
 
-    Units cross packets and packets hold several units. Documents share 13 flows.
+    Units cross packets and packets hold several units. Documents share 13 flows, one of which has no source
+    address. Some documents follow bytes whose length field is too small or too large.
     """
     units = text_units(spark, sf).withColumn("raw", F.concat("raw_header", "raw_body"))
     docs = units.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct(
         "part", "raw"))).alias("u"), F.min("timestamp").alias("timestamp"))
-    stream = docs.withColumn("bytes", F.aggregate("u", F.lit(b""), lambda a, x: F.concat(
-        a, x["raw"]))).drop("u")
+    kind, noise = F.pmod("message_id", F.lit(7)), F.unhex(F.repeat(F.lit("FF"), (F.col("message_id") % 50 + 12).cast("int")))
+    lead = F.lit(b"")
+    for k, field in DAMAGED.items():
+        lead = F.when(kind == k, F.concat(F.unhex(F.lit(field)), noise)).otherwise(lead)
+    stream = docs.withColumn("bytes", F.concat(lead, F.aggregate("u", F.lit(b""), lambda a, x: F.concat(
+        a, x["raw"])))).drop("u")
     pieces = stream.select("message_id", "timestamp", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.expr(f"(octet_length(bytes) - 1) div {size}")),
         lambda i: F.substring(F.col("bytes"), i * size + 1, F.lit(size)))).alias("n", "payload"))
+    flow = F.pmod("message_id", F.lit(13))
     return pieces.select(
-        (F.col("message_id") * 10_000 + F.col("n")).alias("packet_id"), "timestamp",
-        F.concat(F.lit("10.0.0."), F.pmod("message_id", F.lit(13))).alias("src_ip"),
-        F.lit("10.1.0.1").alias("dst_ip"), (F.pmod("message_id", F.lit(13)) + 40000).cast(
-            "int").alias("src_port"), F.lit(2775).alias("dst_port"), "payload")
-
-
-FRAMED = """framed AS (SELECT 40000 + doc_id % 13 AS src_port, 33 + ls + ld + sm AS n, doc_id, part FROM unit)"""
-
-
-@query("framed_units", sql(TEXTS, PARTS, FRAMED, body="""
-SELECT CAST(src_port AS INTEGER) AS src_port, CAST(sum(n) OVER w - n AS BIGINT) AS unit_start, n::BIGINT AS command_length, 4::BIGINT AS command_id
-FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""))
+        (F.col("message_id") * 1_000_000 + F.col("n")).alias("packet_id"), "timestamp",
+        F.when(flow > 0, F.concat(F.lit("10.0.0."), flow)).alias("src_ip"),
+        F.lit("10.1.0.1").alias("dst_ip"), (flow + 40000).cast("int").alias("src_port"),
+        F.lit(2775).alias("dst_port"), "payload")
+
+
+FRAMED = """framed AS (SELECT CAST(40000 + doc_id % 13 AS INTEGER) AS src_port, CASE WHEN doc_id % 13 > 0 THEN '10.0.0.' || doc_id % 13 END AS src_ip,
+  33 + ls + ld + sm AS n, doc_id, part, piece, CAST(NULL AS VARCHAR) AS error FROM unit
+  UNION ALL SELECT CAST(40000 + doc_id % 13 AS INTEGER), CASE WHEN doc_id % 13 > 0 THEN '10.0.0.' || doc_id % 13 END, doc_id % 50 + 16, doc_id, 0,
+    NULL, CASE doc_id % 7 WHEN 3 THEN 'length below 16' ELSE 'length above 70000' END FROM texts WHERE doc_id % 7 IN (3, 5))"""
+FRAMED_BODY = """
+SELECT src_ip, src_port, CAST(sum(n) OVER w - n AS BIGINT) AS unit_start, n::BIGINT AS length, error, md5(coalesce(piece, '')) AS text_md5,
+  CASE WHEN error IS NULL THEN 4::BIGINT END AS command_id, CASE WHEN error IS NULL THEN 0::BIGINT END AS command_status
+FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""
+
+
+def framed_rows(units: DataFrame) -> DataFrame:
+    """Place, length, error, header fields and text of every unit and damaged piece."""
+    rows = units.withColumns({"h": pf.parse_header("raw"), "body": F.substring(F.col("raw"), F.lit(17), F.lit(1 << 30))})
+    texts = pd_.decode_pdus(rows.withColumnRenamed("error", "framing"), "body").withColumnRenamed("framing", "_f")
+    good = F.col("_f").isNull()
+    return texts.select(
+        "src_ip", "src_port", "unit_start", F.octet_length("raw").cast("bigint").alias("length"), F.col("_f").alias("error"),
+        F.md5(F.when(good, F.coalesce("message_text", F.lit(""))).otherwise("")).alias("text_md5"),
+        F.when(good, F.col("h.command_id")).alias("command_id"), F.when(good, F.col("h.command_status")).alias("command_status"))
+
+
+@query("framed_units", sql(TEXTS, PARTS, FRAMED, body=FRAMED_BODY))
 def framed_units(spark, sf):
-    """Units cut from the packet stream of every flow."""
-    out = pd_.frame_pdus(packets(spark, sf)).where("error IS NULL").withColumn("h", pf.parse_header("raw"))
-    return out.select("src_port", "unit_start", F.octet_length("raw").cast("bigint").alias(
-        "command_length"), "h.command_id")
+    """Units and damage cut from the packet stream of every flow."""
+    return framed_rows(pd_.frame_pdus(packets(spark, sf)))
 
 
-@query("framed_units_segmented", sql(TEXTS, PARTS, FRAMED, body="""
-SELECT CAST(src_port AS INTEGER) AS src_port, CAST(sum(n) OVER w - n AS BIGINT) AS unit_start, n::BIGINT AS command_length
-FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""))
+@query("framed_units_segmented", sql(TEXTS, PARTS, FRAMED, body=FRAMED_BODY))
 def framed_units_segmented(spark, sf):
-    """The same with tiny segments, so that flows are cut and stitched in many places."""
-    out = pd_.frame_pdus(packets(spark, sf), segment_bytes=20_000).where("error IS NULL")
-    return out.select("src_port", "unit_start", F.octet_length("raw").cast("bigint").alias(
-        "command_length"))
+    """The same with small segments, so that flows are cut in many places."""
+    return framed_rows(pd_.frame_pdus(packets(spark, sf), segment_bytes=40_000))
 
 
 @query("capture_counts", sql(TEXTS, PARTS, body="""
-SELECT count(*) AS pdus_parsed, 0::BIGINT AS parse_errors, (SELECT CAST(sum(ceil(b / 700.0)) AS BIGINT) FROM (
-  SELECT sum(33 + ls + ld + sm) AS b FROM unit GROUP BY doc_id)) AS packets_captured FROM unit"""))
+SELECT count(*) AS pdus_parsed, (SELECT count(*) FROM texts WHERE doc_id % 7 IN (3, 5)) AS parse_errors, (SELECT CAST(sum(ceil(b / 700.0)) AS BIGINT) FROM (
+  SELECT sum(33 + ls + ld + sm) + max(CASE WHEN doc_id % 7 IN (3, 5) THEN doc_id % 50 + 16 ELSE 0 END) AS b FROM unit GROUP BY doc_id)) AS packets_captured
+FROM unit"""))
 def capture_counts(spark, sf):
     """Packets seen, units parsed and errors."""
     p = packets(spark, sf)

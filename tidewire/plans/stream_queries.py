@@ -12,7 +12,7 @@ from ..streaming.frames import frame_pdus_stream
 from . import sql_text as s
 from .catalog import query
 from .driver_tables import BURST, message_rows
-from .pdu_queries import FRAMED, PARTS, packets
+from .pdu_queries import FRAMED, FRAMED_BODY, PARTS, framed_rows, packets
 from .sql_text import MSG, TEXTS, sql
 
 
@@ -23,14 +23,12 @@ def _feed(df: DataFrame, parts: list, path: str) -> str:
     return path
 
 
-@query("framed_stream", sql(TEXTS, PARTS, FRAMED, body="""
-SELECT CAST(src_port AS INTEGER) AS src_port, CAST(sum(n) OVER w - n AS BIGINT) AS unit_start, n::BIGINT AS command_length
-FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""))
+@query("framed_stream", sql(TEXTS, PARTS, FRAMED, body=FRAMED_BODY))
 def framed_stream(spark, sf):
-    """Units framed from a packet stream in several micro-batches."""
+    """Units and damage framed from a packet stream in several micro-batches."""
     p = packets(spark, sf)
-    top = p.agg(F.max("packet_id")).first()[0] // 10_000
-    cuts = [top // 3 * 10_000 + 2, top * 2 // 3 * 10_000 + 1]
+    top = p.agg(F.max("packet_id")).first()[0] // 1_000_000
+    cuts = [top // 3 * 1_000_000 + 2, top * 2 // 3 * 1_000_000 + 1]
     pid = F.col("packet_id")
     path = _feed(p, [pid <= cuts[0], (pid > cuts[0]) & (pid <= cuts[1]), pid > cuts[1]],
                  work_dir(spark, "packets"))
@@ -40,13 +38,13 @@ def framed_stream(spark, sf):
     run = frame_pdus_stream(raw).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", work_dir(spark, "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(out).where("error IS NULL").select("src_port", "unit_start", F.octet_length("raw").cast(
-        "bigint").alias("command_length"))
+    return framed_rows(spark.read.parquet(out))
 
 
 @query("captured_packets_stream", sql(TEXTS, PARTS, body="""
 SELECT CAST(40000 + doc_id % 13 AS INTEGER) AS src_port, CAST(sum(b // 700 + CASE WHEN b % 700 >= 16 THEN 1 ELSE 0 END) AS BIGINT) AS packets
-FROM (SELECT doc_id, sum(33 + ls + ld + sm) AS b FROM unit GROUP BY doc_id) GROUP BY 1"""))
+FROM (SELECT doc_id, sum(33 + ls + ld + sm) + max(CASE WHEN doc_id % 7 IN (3, 5) THEN doc_id % 50 + 16 ELSE 0 END) AS b
+  FROM unit GROUP BY doc_id) GROUP BY 1"""))
 def captured_packets_stream(spark, sf):
     """Live packet filter: port and minimum size, counted by flow through the batch hook."""
     path = _feed(packets(spark, sf), [F.lit(True)], work_dir(spark, "packets"))

@@ -1,11 +1,12 @@
 """Frame protocol units from a packet stream with one small state per flow."""
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.pdus import FLOW, follow_chain, framing_error
+from ..operators.pdus import FLOW, HEADER, LONGEST, framing_error, plausible_headers, step
 
 OUTPUT = ("src_ip string, src_port int, dst_ip string, dst_port int, unit_start bigint, raw binary, "
           "timestamp timestamp")
@@ -13,35 +14,34 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class FlowFramer(StatefulProcessor):
-    """Keeps the bytes of the unfinished unit and their stream offset.
+    """Keeps the bytes from the last boundary on and their stream offset: at most one unit and a packet.
 
-    An idle flow is dropped after the time to live. A unit whose length field is impossible is kept
-    until the next plausible header arrives and goes out with an error.
+    An idle flow is dropped after the time to live. Damage goes out with an error once the next plausible header
+    or as many bytes as the longest unit have arrived.
     """
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "data binary, offset bigint, broken boolean",
-                                         self.ttl_ms)
+        self.rest = handle.getValueState("rest", "data binary, offset bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        state = self.rest.get() if self.rest.exists() else None
-        data, offset, lost = (bytes(state[0]), state[1], state[2]) if state else (b"", 0, False)
+        data, offset = self.rest.get() if self.rest.exists() else (b"", 0)
         batch = pd.concat(list(rows)).sort_values(["timestamp", "packet_id"], kind="stable")
-        out = []
-        for p in batch.itertuples(index=False):
-            data += bytes(p.payload)
-            marks, after, lost = follow_chain(data, 0)
-            ends = [*marks[1:], after] if marks else []
-            used = 0
-            for a, b in zip(marks, ends):
-                if b <= len(data):
-                    out.append((*key, offset + a, data[a:b], p.timestamp))
-                    used = b
-            data, offset = data[used:], offset + used
-        self.rest.update((data, offset, lost))
+        payloads = [bytes(p) for p in batch["payload"] if p is not None]
+        ends = np.cumsum([len(p) for p in payloads]) + len(data)
+        times = batch["timestamp"][batch["payload"].notna()].tolist()
+        data = b"".join([bytes(data), *payloads])
+        heads, out, pos = plausible_headers(data), [], 0
+        while pos + HEADER <= len(data):
+            after, damaged = step(data, heads, pos)
+            # damage that ends where the data does may go on
+            if after > len(data) or damaged and after == len(data) < pos + LONGEST:
+                break
+            out.append((*key, offset + pos, data[pos:after], times[int(np.searchsorted(ends, after))]))
+            pos = after
+        self.rest.update((data[pos:], offset + pos))
         yield pd.DataFrame(out, columns=[*FLOW, "unit_start", "raw", "timestamp"])
 
     def close(self) -> None:
