@@ -190,7 +190,7 @@ def test_language(spark):
 
 
 def test_personal_data(docs, rows):
-    got = {r.doc_id: r for r in personal_data.personal_data(docs, personal_data.fit(docs)).collect()}
+    got = {r.doc_id: r for r in personal_data.personal_data(docs, personal_data.fit()).collect()}
     assert len(got) == len(rows)
     row = got[16 * 3]
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 1, 1)
@@ -202,7 +202,7 @@ def test_empty_tables(empty):
     for result in (suffix_sort.without_repeats(empty), fm_index.without_repeats(empty),
                    near_text.near_duplicates(empty), line_windows.without_repeated_lines(empty),
                    token_counts.token_counts(empty, path), langid.identify(empty, langid.fit(empty)),
-                   personal_data.personal_data(empty, personal_data.fit(empty)),
+                   personal_data.personal_data(empty, personal_data.fit()),
                    pieces.tokens(empty, public_tokenizers.path("piece_bpe_32k.model")),
                    decontaminate.contaminated(empty, empty.withColumn("item_id", F.lit(1)))):
         assert result.count() == 0

@@ -68,9 +68,9 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     docs = table(spark, sf_dir, "documents")
-    found = personal_data.personal_data(docs, personal_data.fit(docs))
+    found = personal_data.personal_data(docs, personal_data.fit())
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
-                        F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+                        F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_secret", "n_spans")
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
