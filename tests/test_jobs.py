@@ -210,3 +210,80 @@ def test_last_update_wins(spark):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(1, "x", 1), (1, "m", 2)], "id long, v string, n int")
     assert sorted(map(tuple, apply_updates(base, new, "id", ["v"], "n").collect())) == [(1, "m"), (2, "b")]
+
+
+def test_trees_draw_alike_at_every_share():
+    import pyarrow as pa
+    n, slots = 4000, 30
+    h = np.random.default_rng(1).integers(-2 ** 63, 2 ** 63 - 1, n)
+    batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array([[float(i)] for i in range(n)])], names=["h", "x"])
+    for share in (1.0, 0.3, 0.02, 0.0005):
+        got = [t for out in fo._draw(slots, share)([batch]) for t in zip(*(out.column(c).to_pylist() for c in ("slot", "x", "order")))]
+        pairs = {(s, x[0]) for s, x, _ in got}
+        assert len(pairs) == len(got) and all(0 <= s < slots for s, _ in pairs)
+        mean, var = n * slots * share, n * slots * share * (1 - share)
+        assert abs(len(got) - mean) <= 5 * var ** 0.5 + 1e-9, share
+        per = np.bincount([s for s, *_ in got], minlength=slots)
+        assert np.all(np.abs(per - n * share) <= 6 * (n * share * (1 - share)) ** 0.5 + 1e-9)
+        if share >= 0.02:
+            order = np.array([o for *_, o in got])
+            assert abs(order.mean() - 0.5) < 0.05 and len(set(order)) == len(order)
+
+
+def test_forest_scores_follow_the_nodes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(900, 2)))] + [(900, 40.0, -40.0), (901, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    model = fo.Forest.fit(df, ["a", "b"], psi=64, params={"trees": 20, "members": 2})
+    trees = {}
+    for r in model.nodes.itertuples():
+        trees.setdefault((r.member, r.tree), {})[r.node] = r
+    assert len(trees) == 40
+
+    def path(tree, x):
+        node = tree[0]
+        while node.feature >= 0:
+            node = tree[node.left if x[node.feature] < node.cut else node.right]
+        return node.path
+
+    got = {r["id"]: r for r in model.score(df).collect()}
+    for i, a, b in rows[::37] + rows[-2:]:
+        x = (a or 0.0, b or 0.0)
+        means = [np.mean([path(t, x) for (m, _), t in trees.items() if m == member]) for member in (0, 1)]
+        want = [-2.0 ** (-v / fo.average_path(64)) for v in means]
+        assert np.allclose(got[i]["member_scores"], want) and abs(got[i]["score"] - np.mean(want)) < 1e-12
+    assert min(got.values(), key=lambda r: r["score"])["id"] == 900
+
+
+def test_last_rows_of_each_batch(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, 3, None]), i, float(i)) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "batch long, pos long, score double").repartition(3)
+    got = df.mapInArrow(th._last_of_each(20, 100), df.schema).collect()
+    assert len(got) <= 3 * 4 * 20
+    for b in (1, 2, 3, None):
+        best = sorted((p for k, p, _ in rows if k == b), reverse=True)[:20]
+        assert set(best) <= {r.pos for r in got if r.batch == b}
+
+
+def test_late_rows_correct_bursts(spark, tmp_path):
+    from tidewire.streaming.bursts import burst_updates, latest_flags
+    rng = random.Random(8)
+    rows = [(i, T0 + dt.timedelta(seconds=rng.randrange(2000)), rng.choice(["A", "B", "", None]), rng.choice(["x", "y"]))
+            for i in range(500)]
+    rows += [(900, T0, "A", "x"), (901, T0 + dt.timedelta(seconds=180), "A", "x")]
+    rng.shuffle(rows)
+    kind = "id long, timestamp timestamp, source_addr string, dest_addr string"
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    burst_updates(stream, sender_limit=20, recipient_limit=25, late="1 day").writeStream.format("parquet").option(
+        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(
+        availableNow=True).start().awaitTermination()
+    updates = spark.read.parquet(str(tmp_path / "out"))
+    assert updates.groupBy("id", "role").count().where("count > 1").count() > 0
+    got = {r["id"]: (r["sender_burst"], r["recipient_burst"]) for r in latest_flags(updates).collect()}
+    want = {r["id"]: (r["sender_burst"], r["recipient_burst"]) for r in ac.address_activity(
+        spark.createDataFrame(rows, kind), sender_limit=20, recipient_limit=25).collect()}
+    assert got == want and {1} <= {s for s, _ in want.values()}

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config
 from ..session import cut_lineage
-from .prepare import unit_hash
 
 NODE_TYPE = ("member int, tree int, node int, feature int, cut double, left int, right int, "
              "path double")
@@ -55,27 +54,50 @@ def _grow(x: np.ndarray, usable: np.ndarray, limit: int, rng) -> list[tuple]:
     return nodes
 
 
-def tree_samples(df: DataFrame, features: list[str], key: str, members: int, trees: int, psi: int,
-                 seed: int) -> DataFrame:
-    """(member, tree, features, order): about 1.3 psi candidate rows per tree.
+def _draw(slots: int, share: float):
+    """Rows (slot, x, order): every row joins every slot with probability ``share``, by skips from one to the next.
 
-    Large inputs are thinned first, then each surviving row draws its trees.
+    The skips are drawn from the row's hash, so a repeated task draws the same; a row that joins none costs one draw.
     """
-    total = df.count()
-    slots = members * trees
-    want = min(1.0, 1.3 * psi / max(total, 1) + 20.0 / max(total, 1))
-    rows = df.select(F.col(key).alias("_key"), F.array(*[
+    import pyarrow as pa
+
+    def uniform(h, k):
+        x = h + np.atleast_1d(np.asarray(k, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+
+    def skip(u):
+        if share >= 1.0:
+            return np.zeros(len(u), np.int64)
+        return np.minimum(np.floor(np.log1p(-u) / np.log1p(-share)), slots).astype(np.int64)
+
+    def run(batches):
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64)
+            rows, slot, k = np.arange(len(h)), skip(uniform(h, 0)), 1
+            while True:
+                inside = slot < slots
+                rows, slot = rows[inside], slot[inside]
+                if not len(rows):
+                    break
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot.astype(np.int32)), b.column("x").take(pa.array(rows)),
+                     pa.array(uniform(h[rows] ^ np.uint64(0x5851F42D4C957F2D), slot.astype(np.uint64)))],
+                    names=["slot", "x", "order"])
+                slot = slot + 1 + skip(uniform(h[rows], k))
+                k += 1
+    return run
+
+
+def tree_samples(df: DataFrame, features: list[str], key: str, members: int, trees: int, psi: int,
+                 seed: int) -> DataFrame:
+    """(slot, x, order): about 1.3 psi candidate rows per tree, by one law at every size."""
+    total = max(df.count(), 1)
+    share = min(1.0, (1.3 * psi + 20.0) / total)
+    rows = df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.array(*[
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
-    expected = want * slots
-    if expected < 0.5:
-        # most rows join no tree: keep each with the summed probability and let it draw one tree
-        rows = rows.where(unit_hash("_key", seed=seed) < expected)
-        slot = F.array(F.floor(unit_hash("_key", seed=seed + 1) * slots).cast("int"))
-    else:
-        slot = F.filter(F.sequence(F.lit(0), F.lit(slots - 1)),
-                        lambda t: unit_hash("_key", t, seed=seed) < want)
-    picked = rows.withColumn("slot", F.explode(slot))
-    return picked.select("slot", "x", unit_hash("_key", "slot", seed=seed + 2).alias("order"))
+    return rows.mapInArrow(_draw(members * trees, share), "slot int, x array<double>, order double")
 
 
 def fit_iforest(df: DataFrame, features: list[str], key: str = "id", psi: int = 256,

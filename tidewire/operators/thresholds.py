@@ -1,6 +1,7 @@
 """Decision thresholds: percentile, best F1, inter-quartile range, recalibration over time."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import config
@@ -78,6 +79,38 @@ def low_tail(df: DataFrame, score: str, percentile: float) -> float:
     return -exact_quantiles(turned, ["_turned"], [percentile / 100.0])["_turned"][0]
 
 
+def _last_of_each(size: int, held: int = 1 << 16):
+    """The rows of every batch with the ``size`` highest positions among those a task has read.
+
+    Rows are thinned whenever ``held`` of them have come together, so a task holds few.
+    """
+    import pyarrow as pa
+
+    def last(table):
+        table = table.sort_by([("batch", "ascending"), ("pos", "descending")])
+        codes = table.column("batch").combine_chunks().dictionary_encode().indices
+        codes = codes.fill_null(-1).to_numpy(False)
+        first = np.ones(len(codes), bool)
+        first[1:] = codes[1:] != codes[:-1]
+        starts = np.flatnonzero(first)
+        rank = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+        return table.filter(pa.array(rank < size))
+
+    def run(batches):
+        parts, n, limit = [], 0, held
+        for b in batches:
+            parts.append(b)
+            n += b.num_rows
+            if n > limit:
+                kept = last(pa.Table.from_batches(parts)).combine_chunks()
+                parts, n = kept.to_batches(), kept.num_rows
+                limit = max(held, 2 * n)
+        if n:
+            yield from last(pa.Table.from_batches(parts)).combine_chunks().to_batches()
+
+    return run
+
+
 def recalibrate(df: DataFrame, batch: str, order: str, score: str, training_batch,
                 start_threshold: float, baseline_mean: float,
                 params: dict | None = None) -> DataFrame:
@@ -96,9 +129,10 @@ def recalibrate(df: DataFrame, batch: str, order: str, score: str, training_batc
     run = Window.orderBy("batch")  # one row per batch
     ends = per.withColumn("end", F.sum("n").over(
         run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # only the last `size` rows of a batch can be in anyone's buffer
+    # only the last `size` rows of a batch can be in anyone's buffer; each task gives out at most as many of each
     back = Window.partitionBy("batch").orderBy(F.desc("pos"))
-    tail = rows.withColumn("back", F.row_number().over(back)).where(F.col("back") <= size)
+    tail = rows.mapInArrow(_last_of_each(size), rows.schema).withColumn(
+        "back", F.row_number().over(back)).where(F.col("back") <= size)
     tail = tail.join(ends.select("batch", "end"), "batch").withColumn(
         "at", F.col("end") - F.col("back") + 1)
     # a row at position g is in the buffer of every batch whose end lies in [g, g + size)

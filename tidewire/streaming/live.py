@@ -1,4 +1,4 @@
-"""Live bursts, threshold updates and the per-batch hook."""
+"""Live sliding-window counts, threshold updates and the per-batch hook."""
 from __future__ import annotations
 
 import json
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import config
-from ..operators.activity import address_rows, burst_flags
 from ..operators.thresholds import low_tail
 
 
@@ -28,36 +27,6 @@ def burst_windows(stream: DataFrame, address: str = "source_addr", ts: str = "ti
         F.col("window.start").alias("window_start"), address, "total")
 
 
-def burst_writer(out: str, state: str, window_s: int = 180, sender_limit: int = 30,
-                 recipient_limit: int = 15) -> Callable[[DataFrame, int], None]:
-    """Batch function with the exact burst rule.
-
-    The rows of the last window length before the newest row are kept as a table per batch, so a
-    batch sees its own rows plus that tail. The rule itself is the batch job, which splits busy
-    addresses by time. Every batch writes to its own folder, so a repeated batch overwrites itself.
-    """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = address_rows(batch).withColumn("new", F.lit(True))
-        tail = _read_state(spark, state, batch_id - 1)
-        seen = rows if tail is None else rows.unionByName(tail.withColumn("new", F.lit(False)))
-        flags = burst_flags(seen.drop("new"), window_s, sender_limit, recipient_limit)
-        mine = rows.select("id", "role", "addr")
-        flags.join(mine, ["id", "role", "addr"], "left_semi").write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}")
-        newest = seen.agg(F.max("us")).scalar()
-        seen.where(F.col("us") >= newest - window_s * 1_000_000).drop("new").write.mode(
-            "overwrite").parquet(f"{state}/{batch_id}")
-    return step
-
-
-def _read_state(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if batch_id < 0:
-        return None
-    return spark.read.schema("id bigint, us bigint, role string, addr string").parquet(
-        f"{path}/{batch_id}")
-
-
 def recalibration_writer(out: str, state: str, start_threshold: float, baseline_mean: float,
                          training: DataFrame, order: str, score: str,
                          params: dict | None = None) -> Callable[[DataFrame, int], None]:
