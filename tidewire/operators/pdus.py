@@ -36,7 +36,7 @@ def segment_messages(df: DataFrame, id="id", source="source_addr", dest="dest_ad
     """Submit units for every message: UTF-16BE, one unit up to 140 bytes, else 134-byte parts.
 
     Parts carry a six-byte header with reference, total and part number. The reference number and
-    the sequence number follow from the message id, so the job repeats exactly.
+    the sequence number are digits of checksums of the message id, so the job repeats exactly.
     """
     clean = F.col(text)
     for old, new in (("–", "-"), ("—", "-"), ("…", "...")):
@@ -53,7 +53,7 @@ def segment_messages(df: DataFrame, id="id", source="source_addr", dest="dest_ad
         "part", F.explode(F.sequence(F.lit(1), F.col("_parts"))))
     many = F.col("_parts") > 1
     low = lambda c: pf.byte_text(F.pmod(c, F.lit(256)))
-    head = F.concat(F.unhex(F.lit("050003")), low(F.xxhash64("message_id")), low(F.col("_parts")),
+    head = F.concat(F.unhex(F.lit("050003")), F.unhex(F.substring(F.md5(F.col("message_id").cast("string")), 1, 2)), low(F.col("_parts")),
                     low(F.col("part")))
     piece = F.substring(F.col("_m"), (F.col("part") - 1) * 134 + 1, F.when(many, 134).otherwise(140))
     rows = rows.withColumn("_short", F.when(many, F.concat(head, piece)).otherwise(piece))
@@ -65,7 +65,7 @@ def segment_messages(df: DataFrame, id="id", source="source_addr", dest="dest_ad
     rows = rows.withColumn("raw_body", body).withColumns({
         "command_id": F.lit(4).cast("bigint"), "command_name": F.lit("submit_sm"),
         "command_status": F.lit(0).cast("bigint"),
-        "sequence_number": F.pmod(F.xxhash64("message_id", "part"), F.lit(1 << 31)),
+        "sequence_number": F.conv(F.substring(F.md5(F.concat_ws(":", "message_id", "part")), 1, 7), 16, 10).cast("bigint"),
         "command_length": (F.octet_length("raw_body") + 16).cast("int")})
     rows = rows.withColumn("raw_header", F.concat(
         pf.byte_text(F.col("command_length"), 4), pf.byte_text(F.col("command_id"), 4),

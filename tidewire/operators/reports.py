@@ -43,14 +43,21 @@ def _flagged() -> Column:
     return F.count_if(F.col("is_anomaly") == 1)
 
 
-def summary_stats(results: DataFrame, as_of, period: str = "24h") -> DataFrame:
-    return since(results, as_of, period).agg(
-        F.count(F.lit(1)).alias("total_messages"), _flagged().alias("total_anomalies"),
-        F.count_if(F.col("risk_level") == "CRITICAL").alias("critical_alerts"),
-        F.avg("confidence_level").alias("avg_confidence"),
-        F.avg("processing_time_ms").alias("avg_processing_time")).withColumn(
-        "anomaly_rate", F.round(F.col("total_anomalies") * 100.0 / F.greatest(
-            F.col("total_messages"), F.lit(1)), 2))
+def summary_stats(results: DataFrame, as_of, *periods: str) -> DataFrame:
+    """Headline numbers of every period, one row each, from one scan; an unknown period means one day."""
+    out = []
+    for p in periods or ("24h",):
+        start = F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {PERIODS.get(p, PERIODS['24h'])}")
+        inside = F.col("timestamp") > start
+        out.append(F.struct(
+            F.lit(p).alias("period"), F.count_if(inside).alias("total_messages"),
+            F.count_if(inside & (F.col("is_anomaly") == 1)).alias("total_anomalies"),
+            F.count_if(inside & (F.col("risk_level") == "CRITICAL")).alias("critical_alerts"),
+            F.avg(F.when(inside, F.col("confidence_level"))).alias("avg_confidence"),
+            F.avg(F.when(inside, F.col("processing_time_ms"))).alias("avg_processing_time")))
+    rows = results.agg(*[c.alias(f"_{k}") for k, c in enumerate(out)])
+    return rows.select(F.explode(F.array(*[f"_{k}" for k in range(len(out))])).alias("s")).select("s.*").withColumn(
+        "anomaly_rate", F.round(F.col("total_anomalies") * 100.0 / F.greatest(F.col("total_messages"), F.lit(1)), 2))
 
 
 def hourly_stats(results: DataFrame, as_of, period: str = "24h") -> DataFrame:

@@ -256,7 +256,17 @@ def feature_correlations(spark, sf):
         "correlation", F.round(F.col("correlation") + 1e-9, 5))
 
 
-@query("selected_features")
+_COMPOSED = [*config.FOREST_FEATURES, *config.FOREST_COMPOSITES]
+_COMPOSITE_SQL = ", ".join(" + ".join(f"{p} * {w}" for p, w in zip(parts, weights)) + f" AS {name}"
+                           for name, (parts, weights) in config.FOREST_COMPOSITES.items())
+
+
+@query("selected_features", sql(*FEATS, f"composed AS (SELECT *, {_COMPOSITE_SQL} FROM feat)", "high AS (" + " UNION ALL ".join(f"""
+  SELECT '{b}' AS feature, abs(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)) > 0.85 AS much FROM composed"""
+    for j, b in enumerate(_COMPOSED) for a in _COMPOSED[:j]) + ")",
+    "named AS (" + " UNION ALL ".join(f"SELECT {j} AS j, '{c}' AS feature" for j, c in enumerate(_COMPOSED)) + ")", body="""
+SELECT CAST(row_number() OVER (ORDER BY j) - 1 AS INTEGER) AS pos, feature FROM named
+WHERE feature NOT IN (SELECT feature FROM high WHERE much)"""))
 def selected_features(spark, sf):
     """Forest features left after dropping correlated ones."""
     df = pr.add_composites(labelled_features(spark, sf))
@@ -316,7 +326,13 @@ def engineered_features(spark, sf):
                      "sender_risk", "time_risk", "message_length_zscore", "entropy_length_ratio")
 
 
-@query("feature_kinds")
+_SPECIAL = ["day_of_week", "time_category_anomaly"]
+
+
+@query("feature_kinds", sql(*FEATS, body=" UNION ALL ".join([
+    *[f"SELECT 'numeric' AS kind, '{c}' AS feature" for c in config.RECONSTRUCTION_FEATURES if c not in _SPECIAL],
+    *[f"SELECT 'binary', '{c}' FROM feat HAVING count(DISTINCT {c}) = 2" for c in config.RECONSTRUCTION_FEATURES],
+    *[f"SELECT 'categorical', '{c}'" for c in _SPECIAL]])))
 def feature_kinds(spark, sf):
     """Which columns count as numeric, two-valued and categorical."""
     kinds = pr.feature_types(labelled_features(spark, sf))
@@ -357,10 +373,13 @@ def train_validation(spark, sf):
 
 
 @query("scoring_vector", sql(*FEATS, body="SELECT id, CAST(43 AS INTEGER) AS width, round(("
-                             + " + ".join(config.SCORING_COLUMNS) + ") + 1e-9, 2) AS total FROM feat"))
+                             + " + ".join(config.SCORING_COLUMNS) + ") + 1e-9, 2) AS total, round(("
+                             + " + ".join(f"{k + 1} * {c}::FLOAT::DOUBLE" for k, c in enumerate(config.SCORING_COLUMNS))
+                             + ") + 1e-9, 2) AS by_place FROM feat"))
 def scoring_vector(spark, sf):
-    """The padded scoring vector, checked by width and sum."""
+    """The padded scoring vector, checked by width, sum and the sum weighted by place."""
     from ..operators.ensemble import feature_vector
     v = feature_vector(width=43).cast("array<double>")
     return labelled_features(spark, sf).select("id", F.size(v).alias("width"), F.round(F.aggregate(
-        v, F.lit(0.0), lambda a, x: a + x) + 1e-9, 2).alias("total"))
+        v, F.lit(0.0), lambda a, x: a + x) + 1e-9, 2).alias("total"), F.round(F.aggregate(F.transform(
+            v, lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x) + 1e-9, 2).alias("by_place"))

@@ -25,6 +25,13 @@ part AS (SELECT *, CASE WHEN parts = 1 THEN txt ELSE substr(txt, 67 * (part - 1)
 unit AS (SELECT *, 2 * length(piece) + CASE WHEN parts > 1 THEN 6 ELSE 0 END AS sm, doc_id * 100000 + part AS id FROM part)"""
 
 
+# The bytes of a unit in hexadecimal, header and body.
+BYTES = """bytes AS (SELECT *, printf('%08X0000000400000000%08X', 33 + ls + ld + sm, ('0x' || substr(md5(doc_id || ':' || part), 1, 7))::BIGINT) AS head,
+  '000101' || hex(encode(src)) || '000101' || hex(encode(dst)) || '00' || CASE WHEN parts > 1 THEN '40' ELSE '00' END || '0000000001000800' || printf('%02X', sm)
+  || CASE WHEN parts > 1 THEN '050003' || upper(substr(md5(doc_id::VARCHAR), 1, 2)) || printf('%02X%02X', parts % 256, part % 256) ELSE '' END
+  || array_to_string(list_transform(string_split(piece, ''), lambda c: printf('%04X', unicode(c))), '') AS body FROM unit)"""
+
+
 def text_units(spark, sf) -> DataFrame:
     docs = document_texts(spark, sf)
     rows = docs.select(
@@ -78,14 +85,15 @@ def decoded_lenient(spark, sf):
         F.coalesce("message_length", F.lit(-1)).alias("message_length"))
 
 
+_CUT_WHY = """WHEN k < 20 THEN 'body shorter than 20 bytes' WHEN k <= 1 THEN 'ends before source_addr_ton'
+  WHEN k <= 2 THEN 'ends before source_addr_npi' WHEN k <= 4 + ls THEN 'ends before dest_addr_ton' WHEN k <= 5 + ls THEN 'ends before dest_addr_npi'
+  WHEN k < 10 + ls + ld THEN 'ends before message flags' WHEN k < 17 + ls + ld THEN 'ends before delivery flags'
+  WHEN k < 17 + ls + ld + sm THEN 'sm_length beyond the body'"""
 CUT = "cut AS (SELECT *, least(17 + ls + ld + sm, id % 97) AS k FROM unit)"
 
 
 @query("decode_errors", sql(TEXTS, PARTS, CUT, body="""
-SELECT id, CASE WHEN k < 20 THEN 'body shorter than 20 bytes' WHEN k <= 1 THEN 'ends before source_addr_ton'
-  WHEN k <= 2 THEN 'ends before source_addr_npi' WHEN k <= 4 + ls THEN 'ends before dest_addr_ton' WHEN k <= 5 + ls THEN 'ends before dest_addr_npi'
-  WHEN k < 10 + ls + ld THEN 'ends before message flags' WHEN k < 17 + ls + ld THEN 'ends before delivery flags'
-  WHEN k < 17 + ls + ld + sm THEN 'sm_length beyond the body' ELSE 'ok' END AS error FROM cut"""))
+SELECT id, CASE """ + _CUT_WHY + " ELSE 'ok' END AS error FROM cut"))
 def decode_errors(spark, sf):
     """Bodies cut at every possible place name the field they fail at."""
     return pd_.decode_pdus(cut_units(spark, sf)).select(
@@ -97,13 +105,18 @@ def cut_units(spark, sf) -> DataFrame:
         F.col("raw_body"), F.lit(1), F.pmod("id", F.lit(97)).cast("int")))
 
 
-@query("decode_report")
+_WHY = f"CASE {_CUT_WHY} END"
+
+
+@query("decode_report", sql(TEXTS, PARTS, CUT, body=f"SELECT {_WHY} AS error, count(*) AS total FROM cut GROUP BY 1"))
 def decode_report(spark, sf):
     """Good and bad rows by error."""
     return pd_.decode_report(pd_.decode_pdus(cut_units(spark, sf)))
 
 
-@query("first_decode_errors")
+@query("first_decode_errors", sql(TEXTS, PARTS, BYTES, "cut AS (SELECT *, least(17 + ls + ld + sm, id % 97) AS k FROM bytes)", body=f"""
+SELECT id, error, CAST(k AS INTEGER) AS body_length, substr(body, 1, least(2 * k, 100)) AS body_head
+FROM (SELECT *, {_WHY} AS error FROM cut) WHERE error IS NOT NULL ORDER BY id LIMIT 10"""))
 def first_decode_errors(spark, sf):
     """The first ten bad rows with the head of their body."""
     return pd_.first_errors(pd_.decode_pdus(cut_units(spark, sf)))
@@ -188,25 +201,26 @@ def packets(spark, sf, size: int = 700) -> DataFrame:
         F.lit(2775).alias("dst_port"), "payload")
 
 
-FRAMED = """framed AS (SELECT CAST(40000 + doc_id % 13 AS INTEGER) AS src_port, CASE WHEN doc_id % 13 > 0 THEN '10.0.0.' || doc_id % 13 END AS src_ip,
-  33 + ls + ld + sm AS n, doc_id, part, piece, CAST(NULL AS VARCHAR) AS error FROM unit
+FRAMED = BYTES + """,
+framed AS (SELECT CAST(40000 + doc_id % 13 AS INTEGER) AS src_port, CASE WHEN doc_id % 13 > 0 THEN '10.0.0.' || doc_id % 13 END AS src_ip,
+  33 + ls + ld + sm AS n, doc_id, part, head || body AS raw, CAST(NULL AS VARCHAR) AS error, ('0x' || substr(head, 25))::BIGINT AS seq FROM bytes
   UNION ALL SELECT CAST(40000 + doc_id % 13 AS INTEGER), CASE WHEN doc_id % 13 > 0 THEN '10.0.0.' || doc_id % 13 END, doc_id % 50 + 16, doc_id, 0,
-    NULL, CASE doc_id % 7 WHEN 3 THEN 'length below 16' ELSE 'length above 70000' END FROM texts WHERE doc_id % 7 IN (3, 5))"""
+    CASE doc_id % 7 WHEN 3 THEN '00000005' ELSE '7FFFFFFF' END || repeat('FF', CAST(doc_id % 50 + 12 AS BIGINT)),
+    CASE doc_id % 7 WHEN 3 THEN 'length below 16' ELSE 'length above 70000' END, NULL FROM texts WHERE doc_id % 7 IN (3, 5))"""
 FRAMED_BODY = """
-SELECT src_ip, src_port, CAST(sum(n) OVER w - n AS BIGINT) AS unit_start, n::BIGINT AS length, error, md5(coalesce(piece, '')) AS text_md5,
-  CASE WHEN error IS NULL THEN 4::BIGINT END AS command_id, CASE WHEN error IS NULL THEN 0::BIGINT END AS command_status
+SELECT src_ip, src_port, CAST(sum(n) OVER w - n AS BIGINT) AS unit_start, n::BIGINT AS length, error, md5(raw) AS raw_md5,
+  CASE WHEN error IS NULL THEN 4::BIGINT END AS command_id, CASE WHEN error IS NULL THEN 0::BIGINT END AS command_status, seq AS sequence_number
 FROM framed WINDOW w AS (PARTITION BY src_port ORDER BY doc_id, part ROWS UNBOUNDED PRECEDING)"""
 
 
 def framed_rows(units: DataFrame) -> DataFrame:
-    """Place, length, error, header fields and text of every unit and damaged piece."""
-    rows = units.withColumns({"h": pf.parse_header("raw"), "body": F.substring(F.col("raw"), F.lit(17), F.lit(1 << 30))})
-    texts = pd_.decode_pdus(rows.withColumnRenamed("error", "framing"), "body").withColumnRenamed("framing", "_f")
-    good = F.col("_f").isNull()
-    return texts.select(
-        "src_ip", "src_port", "unit_start", F.octet_length("raw").cast("bigint").alias("length"), F.col("_f").alias("error"),
-        F.md5(F.when(good, F.coalesce("message_text", F.lit(""))).otherwise("")).alias("text_md5"),
-        F.when(good, F.col("h.command_id")).alias("command_id"), F.when(good, F.col("h.command_status")).alias("command_status"))
+    """Place, length, error, checksum of the bytes and header fields of every unit and damaged piece."""
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    h = units.withColumn("h", pf.parse_header("raw"))
+    return h.select(
+        "src_ip", "src_port", "unit_start", F.octet_length("raw").cast("bigint").alias("length"), "error",
+        F.md5(F.hex("raw")).alias("raw_md5"), *[good(F.col(f"h.{c}")).alias(c) for c in (
+            "command_id", "command_status", "sequence_number")])
 
 
 @query("framed_units", sql(TEXTS, PARTS, FRAMED, body=FRAMED_BODY))
