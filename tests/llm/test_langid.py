@@ -40,3 +40,12 @@ def test_a_language_without_trigrams_is_left_out(spark):
     assert got == {**dict.fromkeys(range(5), True), 9: False, 10: False}
     none = langid.fit(docs.where("lang = 'bb'"))
     assert not any(r.accepted for r in langid.identify(docs, none).collect())
+
+
+def test_columns_of_added_names(spark):
+    docs = spark.createDataFrame([(1, "aba caba aba dab", "xx", "old"), (1, "aba caba aba dab", "xx", "old"), (2, None, None, None),
+                                  (3, "efe gehe efe geh", "yy", "old")], "doc_id long, text string, lang string, score string")
+    rows = langid.identify(docs.withColumn("lang_pred", docs.lang), langid.fit(docs)).collect()
+    assert len(rows) == 4 and rows[0].asDict().keys() == {"doc_id", "text", "lang", "lang_pred", "score", "accepted"}
+    assert sorted((r.doc_id, r.lang_pred) for r in rows) == [(1, "xx"), (1, "xx"), (2, "und"), (3, "yy")]
+    assert all(0 <= r.score <= 1 for r in rows)

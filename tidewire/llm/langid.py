@@ -204,10 +204,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` and lang_pred, score, accepted.
 
     A null text or one without letters is ``und`` with score 0 and not accepted. Score is the cosine
-    to the nearest centroid; ``accepted`` tells whether it reaches that centroid's limit for the text's
-    number of trigrams (between two powers of two by its logarithm). The added names must not be columns
-    of ``docs`` already; other columns pass through unchanged.
+    to the nearest centroid, of equally near ones the first by language; ``accepted`` tells whether it reaches that
+    centroid's limit for the text's number of trigrams (between two powers of two by its logarithm). Columns of
+    ``docs`` that have an added name give way to it; others pass through unchanged, repeated rows give a row each.
     """
+    docs = docs.drop("lang_pred", "score", "accepted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
