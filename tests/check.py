@@ -21,7 +21,8 @@ def canon(v):
     if isinstance(v, float):
         return f"{v:.6f}" if v != 0 else "0.000000"
     if hasattr(v, "isoformat"):
-        return pd.Timestamp(v).isoformat()
+        v = pd.Timestamp(v)
+        return (v.tz_convert("UTC").tz_localize(None) if v.tzinfo else v).isoformat()
     if hasattr(v, "tolist"):
         return canon(v.tolist())
     if isinstance(v, (list, tuple)):
