@@ -8,23 +8,38 @@ occurs again go on; equal stretches are kept once, with the place where they sta
 dealt out by anchor to shards that an index (suffix array, FM-index) works through. What a shard
 finds, the first place of each window, goes back to all occurrences of the stretch by a join.
 
-Hot anchors: rows of an anchor stream through counting, joining and merging in sorted order without
-being held, equal stretches are merged before their symbols are read, and the join that takes results
-back is a plain equi-join of narrow rows, which adaptive execution splits.
+Hot anchors: a passage that many documents share, with other text around each copy, would bring one
+distinct stretch per copy to one anchor. A bounded sample of documents (``SAMPLE``) shows such anchors and
+the grams around them; every window prefers a gram outside that list, so windows over a passage's edge
+go by the text beside it. Equal windows hold equal grams, so they still meet, whatever the list is. What
+repeats as a whole stays with one anchor, as equal stretches: rows of an anchor frequent in the sample are
+dealt out by document and place, merged there, and the firsts of the deals merged again. The sample steers
+only where rows go; results do not depend on it.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BYTE_CODES, SpanHash, blocks, flat, word_codes
+from .common import BYTE_CODES, MULTIPLIER, SpanHash, blocks, flat, mix, staged, word_codes
 
 #: start and number of windows of a stretch share one number; a stretch has fewer windows than this
 MOST_BITS = 12
-RUNS = "doc_id long not null, anchor long not null, stretch long not null, at long not null"
+#: documents looked at for hot anchors, picked by a hash of their id
+SAMPLE = 4096
+#: distinct stretches of a gram in the sample from which windows avoid it
+CROWDED = 8
+#: stretches of an anchor in the sample from which its rows are dealt out
+FREQUENT = 32
+#: deals of a frequent anchor
+DEALS = 256
+#: grams and anchors of either list, the most crowded first
+LISTED = 1 << 17
+RUNS = "doc_id long not null, anchor long not null, stretch long not null, at long not null, deal int not null"
 STRETCHES = "anchor long, stretch long, doc_id long, start long, n int, symbols binary"
 FOUND = ("anchor long not null, stretch long not null, at int not null, until int not null, "
          "first_doc long not null, first_start long not null")
@@ -48,7 +63,29 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1:width - 1 + n])
 
 
-def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int):
+@dataclass
+class Hot:
+    """Fingerprints of grams that windows avoid and of anchors whose rows are dealt out; at most ``LISTED`` each."""
+    crowded: np.ndarray
+    frequent: np.ndarray
+
+
+NOTHING_HOT = Hot(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def listed(marks: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which fingerprints stand in the list ``known``."""
+    if not len(known):
+        return np.zeros(len(marks), bool)
+    # a table of leading bits tells most of the others apart
+    leading = np.zeros(1 << 22, bool)
+    leading[known >> np.uint64(42)] = True
+    out = leading[marks >> np.uint64(42)]
+    out[out] = np.isin(marks[out], known)
+    return out
+
+
+def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int, crowded=NOTHING_HOT.crowded):
     """text index, anchor, stretch fingerprint, start and number of windows of every stretch."""
     none = np.zeros(0, np.int64)
     if len(codes) < width:
@@ -56,9 +93,10 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     spans = SpanHash(codes)
     place = np.arange(len(codes) - gram + 1)
     marks = spans(place, place + gram)
-    # fingerprint above, place below: the leftmost of equal marks is the smallest
+    # crowded grams last, then by fingerprint, then by place: the leftmost of equal marks is the smallest
     low = np.uint64(max(20, int(len(codes)).bit_length()))
-    key = ((marks >> low) << low) | place.astype(np.uint64)
+    key = ((marks >> (low + np.uint64(1))) << low) | place.astype(np.uint64)
+    key |= listed(marks, crowded).astype(np.uint64) << np.uint64(63)
     chosen = (sliding_minimum(key, width - gram + 1) & np.uint64((1 << int(low)) - 1)).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(chosen)]
     inside = np.arange(len(chosen)) + width <= offsets[text + 1]
@@ -74,18 +112,65 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     return text[begin], anchor.view(np.int64), stretch.view(np.int64), begin - offsets[text[begin]], n
 
 
-def _runs(unit, width, gram):
+def _runs(unit, width, gram, hot):
     def run(batches):
         for b in blocks(batches):
             codes, offsets = UNITS[unit](b.column("text"))
-            text, anchor, stretch, start, n = stretches(codes, offsets, width, gram)
+            text, anchor, stretch, start, n = stretches(codes, offsets, width, gram, hot.value.crowded)
+            doc = b.column("doc_id").to_numpy()[text]
+            key = doc.view(np.uint64) + start.astype(np.uint64) * MULTIPLIER
+            deal = (mix(key) % np.uint64(DEALS)).astype(np.int32) + 1
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()).take(pa.array(text)), pa.array(anchor),
-                 pa.array(stretch), pa.array(start << MOST_BITS | n)],
-                names=["doc_id", "anchor", "stretch", "at"])
+                [pa.array(doc), pa.array(anchor), pa.array(stretch), pa.array(start << MOST_BITS | n),
+                 pa.array(np.where(listed(anchor.view(np.uint64), hot.value.frequent), deal, 0), pa.int32())],
+                names=["doc_id", "anchor", "stretch", "at", "deal"])
+    return run
+
+
+def _grams_beside(unit, width, gram, anchors):
+    """(gram, stretch) of all grams in the stretches of some anchors."""
+    def run(batches):
+        for b in blocks(batches):
+            codes, offsets = UNITS[unit](b.column("text"))
+            text, anchor, stretch, start, n = stretches(codes, offsets, width, gram)
+            near = np.flatnonzero(listed(anchor.view(np.uint64), anchors.value))
+            if not len(near):
+                continue
+            size = n[near] + width - gram
+            row = np.repeat(near, size)
+            place = (offsets[text] + start)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            found = SpanHash(codes)(place, place + gram).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(stretch[row])], names=["gram", "stretch"])
     return run
 
 
+def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int) -> Hot:
+    """What a sample of about ``SAMPLE`` documents shows as crowded grams and frequent anchors."""
+    spark = docs.sparkSession
+    n = docs.count()
+    if not n:
+        return NOTHING_HOT
+    sample = staged(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE), "sample")
+
+    def most(rows: DataFrame, key: str, least: int) -> np.ndarray:
+        top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(LISTED)
+        return np.unique(np.array([r[0] for r in top.select(key).collect()], np.int64).view(np.uint64))
+
+    plain = sample.mapInArrow(_runs(unit, width, gram, spark.sparkContext.broadcast(NOTHING_HOT)), RUNS)
+    anchors = most(plain.groupBy("anchor").agg(F.countDistinct("stretch").alias("n")), "anchor", CROWDED)
+    crowded = anchors
+    if len(anchors):
+        beside = sample.mapInArrow(
+            _grams_beside(unit, width, gram, spark.sparkContext.broadcast(anchors)), "gram long, stretch long")
+        crowded = np.union1d(anchors, most(
+            beside.groupBy("gram").agg(F.countDistinct("stretch").alias("n")), "gram", CROWDED))
+    avoiding = spark.sparkContext.broadcast(Hot(crowded, NOTHING_HOT.frequent))
+    # two documents: such an anchor surely occurs again, in every reading
+    rows = sample.mapInArrow(_runs(unit, width, gram, avoiding), RUNS).groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return Hot(crowded, most(rows.where("low < high"), "anchor", FREQUENT))
+
+
 def _cut(unit, width):
     """Symbols of the wanted stretches of each document."""
     def run(batches):
@@ -120,21 +205,30 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     an anchor must stand in two documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    # one exchange by anchor serves the extremes, both uses of the join and the first places; all
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, unit, width, gram))
+    # one exchange by anchor and deal serves the extremes, both uses of the join and the first places; all
     # columns take part in the extremes, else they would be pruned and need an exchange of their own
-    runs = docs.mapInArrow(_runs(unit, width, gram), RUNS).repartition("anchor")
+    runs = docs.mapInArrow(_runs(unit, width, gram, hot), RUNS).repartition("anchor", "deal")
     row = F.struct("doc_id", "at", "stretch")
-    again = runs.groupBy("anchor").agg(F.min(row).alias("low"), F.max(row).alias("high")).where(
-        "low.doc_id < high.doc_id" if across else "low < high")
-    seen = runs.join(again.select("anchor"), "anchor")
-    first = seen.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "at")).alias("f"))
+    again = runs.groupBy("anchor", "deal").agg(
+        F.min(row).alias("low"), F.max(row).alias("high"), F.max("deal").alias("dealt")).where(
+        "dealt > 0 or " + ("low.doc_id < high.doc_id" if across else "low < high"))
+    seen = runs.join(again.select("anchor", "deal", "dealt"), ["anchor", "deal"])
+    parts = seen.groupBy("anchor", "deal", "stretch").agg(
+        F.min(F.struct("doc_id", "at")).alias("f"), F.max("dealt").alias("dealt"))
+    dealt = parts.where("dealt > 0 and f.doc_id is not null")
+    first = parts.where("dealt = 0").select("anchor", "stretch", "f").union(
+        dealt.groupBy("anchor", "stretch").agg(F.min("f").alias("f")))
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("anchor", "stretch", "f.at")).alias("wanted"))
     cut = docs.join(wanted, "doc_id").mapInArrow(_cut(unit, width), STRETCHES)
     found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, FOUND)
-    found = found.withColumnRenamed("at", "from")
+    # what is found for a dealt stretch goes to the deals that hold it
+    found = found.withColumnRenamed("at", "from").join(
+        dealt.select("anchor", "stretch", "deal"), ["anchor", "stretch"], "left").withColumn(
+        "deal", F.coalesce("deal", F.lit(0)))
     start = F.shiftright("at", MOST_BITS)
-    return seen.join(found, ["anchor", "stretch"]).withColumn("start", start + F.col("from")).where(earlier).select(
+    return seen.join(found, ["anchor", "deal", "stretch"]).withColumn("start", start + F.col("from")).where(earlier).select(
         "doc_id", F.col("start").alias("begin"),
         (start + F.col("until") + width - 1).alias("end"))
 
