@@ -8,7 +8,7 @@ def test_a_run_across_a_mark_is_no_window():
     symbols = [b"a" * 50 + b"\0" * 50, b"\0" * 100, b"\0" * 101]
     rows = pa.table({"anchor": pa.array([1, 1, 1]), "stretch": pa.array([1, 2, 3]), "doc_id": pa.array([1, 2, 3]),
                      "start": pa.array([0, 0, 7]), "n": pa.array([len(s) - 99 for s in symbols], pa.int32()),
-                     "symbols": pa.array(symbols, pa.binary())})
+                     "symbols": pa.array(symbols, pa.binary()), "deals": pa.array([[0]] * 3, pa.list_(pa.int32()))})
     got = suffix_sort._search(rows, 100).to_pylist()
     first = {(r["stretch"], i): (r["first_doc"], r["first_start"] + i - r["at"])
              for r in got for i in range(r["at"], r["until"])}

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import BYTE_CODES, MULTIPLIER, SpanHash, blocks, flat, mix, staged, word_codes
 
@@ -40,9 +40,9 @@ DEALS = 256
 #: grams and anchors of either list, the most crowded first
 LISTED = 1 << 17
 RUNS = "doc_id long not null, anchor long not null, stretch long not null, at long not null, deal int not null"
-STRETCHES = "anchor long, stretch long, doc_id long, start long, n int, symbols binary"
+STRETCHES = "anchor long, stretch long, doc_id long, start long, n int, symbols binary, deals array<int>"
 FOUND = ("anchor long not null, stretch long not null, at int not null, until int not null, "
-         "first_doc long not null, first_start long not null")
+         "first_doc long not null, first_start long not null, deals array<int>")
 
 #: unit -> codes and offsets of all texts of a column
 UNITS: dict[str, Callable] = {
@@ -190,8 +190,8 @@ def _cut(unit, width):
                    for x, y in zip(begin.tolist(), (begin + n + width - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [each.field("anchor"), each.field("stretch"), b.column("doc_id").take(pa.array(doc)),
-                 pa.array(start), pa.array(n.astype(np.int32)), pa.array(cut, pa.binary())],
-                names=["anchor", "stretch", "doc_id", "start", "n", "symbols"])
+                 pa.array(start), pa.array(n.astype(np.int32)), pa.array(cut, pa.binary()), each.field("deals")],
+                names=["anchor", "stretch", "doc_id", "start", "n", "symbols", "deals"])
     return run
 
 
@@ -206,27 +206,26 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs, unit, width, gram))
-    # one exchange by anchor and deal serves the extremes, both uses of the join and the first places; all
-    # columns take part in the extremes, else they would be pruned and need an exchange of their own
+    # one exchange by anchor and deal serves all uses of the rows. One sort per use: the frames, the firsts and
+    # the join back go by the same order. Filters stand on the frames' columns, so that none gets below the
+    # exchange and gives it a second form
     runs = docs.mapInArrow(_runs(unit, width, gram, hot), RUNS).repartition("anchor", "deal")
-    row = F.struct("doc_id", "at", "stretch")
-    again = runs.groupBy("anchor", "deal").agg(
-        F.min(row).alias("low"), F.max(row).alias("high"), F.max("deal").alias("dealt")).where(
-        "dealt > 0 or " + ("low.doc_id < high.doc_id" if across else "low < high"))
-    seen = runs.join(again.select("anchor", "deal", "dealt"), ["anchor", "deal"])
+    group = Window.partitionBy("anchor", "deal").orderBy("stretch").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    again = F.min("doc_id").over(group) < F.max("doc_id").over(group) if across else F.count(F.lit(1)).over(group) > 1
+    seen = runs.select("*", again.alias("again"), F.max("deal").over(group).alias("dealt")).where("again or dealt > 0")
     parts = seen.groupBy("anchor", "deal", "stretch").agg(
         F.min(F.struct("doc_id", "at")).alias("f"), F.max("dealt").alias("dealt"))
-    dealt = parts.where("dealt > 0 and f.doc_id is not null")
-    first = parts.where("dealt = 0").select("anchor", "stretch", "f").union(
-        dealt.groupBy("anchor", "stretch").agg(F.min("f").alias("f")))
+    first = parts.where("dealt = 0").select("anchor", "stretch", "f", F.array("deal").alias("deals")).union(
+        parts.where("dealt > 0").groupBy("anchor", "stretch").agg(
+            F.min("f").alias("f"), F.collect_set("deal").alias("deals")))
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct("anchor", "stretch", "f.at")).alias("wanted"))
+        F.collect_list(F.struct("anchor", "stretch", "f.at", "deals")).alias("wanted"))
     cut = docs.join(wanted, "doc_id").mapInArrow(_cut(unit, width), STRETCHES)
     found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, FOUND)
-    # what is found for a dealt stretch goes to the deals that hold it
-    found = found.withColumnRenamed("at", "from").join(
-        dealt.select("anchor", "stretch", "deal"), ["anchor", "stretch"], "left").withColumn(
-        "deal", F.coalesce("deal", F.lit(0)))
+    # what is found for a dealt stretch goes to the deals that hold it, where its rows lie already
+    found = found.withColumnRenamed("at", "from").withColumn("deal", F.explode("deals")).drop("deals").repartition(
+        "anchor", "deal")
     start = F.shiftright("at", MOST_BITS)
     return seen.join(found, ["anchor", "deal", "stretch"]).withColumn("start", start + F.col("from")).where(earlier).select(
         "doc_id", F.col("start").alias("begin"),
@@ -266,12 +265,12 @@ def merged_runs(stretch_of: np.ndarray, at: np.ndarray, doc: np.ndarray, start:
 
 def found_rows(rows: pa.Table, stretch_of, at, until, doc, start) -> pa.RecordBatch:
     """A batch of FOUND for stretches given by their row."""
-    names = rows.select(["anchor", "stretch"]).take(pa.array(stretch_of)).combine_chunks()
+    anchor, stretch, deals = (rows.column(c).combine_chunks().take(pa.array(stretch_of))
+                              for c in ("anchor", "stretch", "deals"))
     return pa.RecordBatch.from_arrays(
-        [x.combine_chunks() for x in names.columns]
-        + [pa.array(at.astype(np.int32)), pa.array(until.astype(np.int32)),
-           pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64))],
-        names=["anchor", "stretch", "at", "until", "first_doc", "first_start"])
+        [anchor, stretch, pa.array(at.astype(np.int32)), pa.array(until.astype(np.int32)),
+         pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), deals],
+        names=["anchor", "stretch", "at", "until", "first_doc", "first_start", "deals"])
 
 
 def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
