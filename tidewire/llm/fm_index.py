@@ -134,7 +134,8 @@ def _search(rows: pa.Table, width: int) -> pa.RecordBatch:
     order = np.lexsort((at, owner))
     owner, at, doc = owner[order], at[order], doc[order]
     begin, end = merged_runs(owner, at, doc, at, moving=False)
-    return found_rows(rows, owner[begin], at[begin], at[end - 1] + 1, doc[begin], np.zeros_like(begin))
+    own = doc[begin] == docs[owner[begin]]
+    return found_rows(rows, owner[begin], at[begin], at[end - 1] + 1, doc[begin], np.zeros_like(begin), own)
 
 
 def _index(width):

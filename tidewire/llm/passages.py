@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import BYTE_CODES, MULTIPLIER, SpanHash, blocks, flat, mix, staged, word_codes
+from .common import BLOCK_BYTES, BYTE_CODES, MULTIPLIER, SpanHash, blocks, flat, mix, staged, word_codes
 
 #: start and number of windows of a stretch share one number; a stretch has fewer windows than this
 MOST_BITS = 12
@@ -114,7 +114,7 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int, cro
 
 def _runs(unit, width, gram, hot):
     def run(batches):
-        for b in blocks(batches):
+        for b in blocks(batches, limit=BLOCK_BYTES // 2):
             codes, offsets = UNITS[unit](b.column("text"))
             text, anchor, stretch, start, n = stretches(codes, offsets, width, gram, hot.value.crowded)
             doc = b.column("doc_id").to_numpy()[text]
@@ -199,7 +199,8 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
                     earlier: Column, across: bool) -> DataFrame:
     """(doc_id, begin, end) in symbols, of stretches of windows that stand somewhere earlier.
 
-    ``index`` maps record batches of STRETCHES, one partition being a shard, to FOUND: for windows
+    ``index`` maps record batches of STRETCHES, one partition being a shard, to FOUND (``deals`` is null
+    for a stretch that stands once and holds 0 for one that is not dealt out): for windows
     ``at <= i < until`` of a stretch the place where the same window stands first, ``first_start``
     moving with ``i``. ``earlier`` compares that with the occurrence (doc_id, start) of window ``at``. With ``across``
     an anchor must stand in two documents.
@@ -215,8 +216,8 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     again = F.min("doc_id").over(group) < F.max("doc_id").over(group) if across else F.count(F.lit(1)).over(group) > 1
     seen = runs.select("*", again.alias("again"), F.max("deal").over(group).alias("dealt")).where("again or dealt > 0")
     parts = seen.groupBy("anchor", "deal", "stretch").agg(
-        F.min(F.struct("doc_id", "at")).alias("f"), F.max("dealt").alias("dealt"))
-    first = parts.where("dealt = 0").select("anchor", "stretch", "f", F.array("deal").alias("deals")).union(
+        F.min(F.struct("doc_id", "at")).alias("f"), F.max("dealt").alias("dealt"), F.count(F.lit(1)).alias("n"))
+    first = parts.where("dealt = 0").select("anchor", "stretch", "f", F.when(F.col("n") > 1, F.array("deal")).alias("deals")).union(
         parts.where("dealt > 0").groupBy("anchor", "stretch").agg(
             F.min("f").alias("f"), F.collect_set("deal").alias("deals")))
     wanted = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(
@@ -224,7 +225,7 @@ def repeated_places(docs: DataFrame, unit: str, width: int, gram: int, index: Ca
     cut = docs.join(wanted, "doc_id").mapInArrow(_cut(unit, width), STRETCHES)
     found = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(index, FOUND)
     # what is found for a dealt stretch goes to the deals that hold it, where its rows lie already
-    found = found.withColumnRenamed("at", "from").withColumn("deal", F.explode("deals")).drop("deals").repartition(
+    found = found.withColumnRenamed("at", "from").withColumn("deal", F.explode(F.coalesce("deals", F.array(F.lit(0))))).drop("deals").repartition(
         "anchor", "deal")
     start = F.shiftright("at", MOST_BITS)
     return seen.join(found, ["anchor", "deal", "stretch"]).withColumn("start", start + F.col("from")).where(earlier).select(
@@ -263,8 +264,13 @@ def merged_runs(stretch_of: np.ndarray, at: np.ndarray, doc: np.ndarray, start:
     return begin, np.append(begin[1:], len(at))
 
 
-def found_rows(rows: pa.Table, stretch_of, at, until, doc, start) -> pa.RecordBatch:
-    """A batch of FOUND for stretches given by their row."""
+def found_rows(rows: pa.Table, stretch_of, at, until, doc, start, own) -> pa.RecordBatch:
+    """A batch of FOUND for stretches given by their row.
+
+    ``own`` marks windows whose first place is the row's own; no other row asks for those of a stretch without deals.
+    """
+    asked = ~own | rows.column("deals").is_valid().to_numpy()[stretch_of]
+    stretch_of, at, until, doc, start = (x[asked] for x in (stretch_of, at, until, doc, start))
     anchor, stretch, deals = (rows.column(c).combine_chunks().take(pa.array(stretch_of))
                               for c in ("anchor", "stretch", "deals"))
     return pa.RecordBatch.from_arrays(

@@ -289,11 +289,12 @@ def _search(rows: pa.Table, width: int) -> pa.RecordBatch:
     text = np.frombuffer(b"\0".join(rows.column("symbols").to_pylist()) + b"\0", np.uint8)
     docs, number = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)
     key = (number.astype(np.int64) << 32) + rows.column("start").to_numpy()
-    owner = np.repeat(np.arange(len(n)), length + 1)
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), length + 1)
     at = np.arange(len(text)) - begin[owner]
     window = at < n[owner]
     # a run of U+0000 can equal one across a mark, which is no window and must not count as earlier
     best = np.where(window, key[owner] + at, np.iinfo(np.int64).max)
+    del at
     with tempfile.TemporaryDirectory() as folder:
         held, low = [], 0
         for place, common in sorted_suffixes(text, ends, folder, width):
@@ -314,10 +315,12 @@ def _search(rows: pa.Table, width: int) -> pa.RecordBatch:
                 best[inner] = np.repeat(values, np.diff(np.append(starts, len(inner))))
         _settle(best, held)
     place = np.flatnonzero(window)
-    owner, at, best = owner[place], at[place], best[place]
+    owner, best = owner[place], best[place]
+    at = place - begin[owner]
     doc, start = best >> 32, best & 0xFFFFFFFF
     a, z = merged_runs(owner, at, doc, start, moving=True)
-    return found_rows(rows, owner[a], at[a], at[z - 1] + 1, docs[doc[a]], start[a])
+    own = (doc[a] == number[owner[a]]) & (start[a] == rows.column("start").to_numpy()[owner[a]] + at[a])
+    return found_rows(rows, owner[a], at[a], at[z - 1] + 1, docs[doc[a]], start[a], own)
 
 
 def _settle(best: np.ndarray, held: list) -> None:
