@@ -1,4 +1,5 @@
 """Personal data: base spans against the plain patterns, the field against enumeration and held-out labelled rows."""
+import hashlib
 import itertools
 import random
 import re
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import personal_data as pd_
+from tidewire.llm import personal_data as pd_, queries
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -98,3 +99,15 @@ def test_rows(spark, field):
         (7, 1, 1, 0, 0, 0, 2), (None, 1, 0, 0, 1, 0, 2)]
     assert got[3].spans == "card:0:16" and got[4].spans == "secret:11:51" and got[4].base_spans == ""
     assert pd_.personal_data(table.limit(0), field).collect() == []
+
+
+def test_query_counts_base_spans(spark, tmp_path):
+    # the field's spans are in spans, not in the counts that the contract fixes
+    rows = [(1, "write to ann at host dot org or (555) 123-4567 today"), (2, "x@y.zz 1.2.3.4"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(queries.op10_personal_data(spark, str(tmp_path)).collect())
+    assert [tuple(r[1:5]) for r in got] == [(0, 0, 0, 0), (1, 1, 0, 0), (0, 0, 0, 0)]
+    assert [r.n_spans for r in got] == [2, 2, 0]
+    for r, (_, text) in zip(got, rows):
+        base = ",".join(f"{pd_.KINDS[k]}:{a}:{z}" for k, a, z in sorted(plain(text or "")))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
