@@ -287,3 +287,42 @@ def test_late_rows_correct_bursts(spark, tmp_path):
     want = {r["id"]: (r["sender_burst"], r["recipient_burst"]) for r in ac.address_activity(
         spark.createDataFrame(rows, kind), sender_limit=20, recipient_limit=25).collect()}
     assert got == want and {1} <= {s for s, _ in want.values()}
+
+
+def test_one_burst_state_holds_many_addresses():
+    # a call takes all addresses of a bucket, so that calls do not grow with the number of addresses
+    import pandas as pd
+    from tidewire.streaming.bursts import BurstProcessor
+
+    class Held:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def registerTimer(self, _):
+            pass
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    held, minute = Held(), 60_000_000
+    state = BurstProcessor(3 * minute, 12 * minute, {"s": 2})
+    state.init(held)
+
+    def call(*rows):
+        new = pd.DataFrame(rows, columns=["id", "us", "addr", "own"])
+        out = pd.concat(state.handleInputRows(("s", 0, 1), iter([new]), None))
+        return {r.id: r.burst for r in out.itertuples()}
+
+    at = 12 * minute
+    assert call((1, at, "a", True), (2, at + 1, "b", True), (3, at + 2, "a", True), (4, at + 3, "b", True)) == {1: 0, 2: 0, 3: 0, 4: 0}
+    # the late row is context of another block: it changes the flag of "a" alone
+    assert call((5, at - 1, "a", False)) == {3: 1}
+    assert call((6, at + 3 * minute + 2, "b", True), (7, at + 5, "c", True)) == {6: 0, 7: 0}

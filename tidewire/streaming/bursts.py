@@ -1,8 +1,9 @@
 """Live burst flags that late rows correct.
 
-An address is kept per time block, with the rows of the last window length of the block before as context, so that a
-busy address spreads over many states and a state stays as small as a block. A row that arrives late changes
-the flags of rows after it; these are given out again with a higher version.
+The addresses of a role are dealt to buckets by hash. A state holds the rows of one bucket and time block, with those of
+the last window length of the block before as context, so that a busy address spreads over many states and a batch
+makes few calls, each over arrays. A row that arrives late changes the flags of rows after it; these are given out again
+with a higher version.
 """
 from __future__ import annotations
 
@@ -16,39 +17,49 @@ from .frames import ROCKSDB
 OUTPUT = "id bigint, role string, burst int, version bigint"
 #: states that rows without an address or time are dealt to
 IDLE = 256
+#: states that the addresses of a role and block are dealt to
+BUCKETS = 16
 
 
 class BurstProcessor(StatefulProcessor):
-    """Sorted times of a block's rows with their ids and the flags last given out (-1 for none)."""
+    """Times of a block's rows by address and time, with their ids and the flags last given out (-1 for none)."""
 
     def __init__(self, width: int, block: int, limits: dict[str, int]):
         self.width, self.block, self.limits = width, block, limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "us binary, ids binary, own binary, flags binary")
+        self.seen = handle.getValueState("seen", "names array<string>, who binary, us binary, ids binary, own binary, flags binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        role, addr, block = key
+        role, _, block = key
         new = pd.concat(list(rows))
-        if not addr or block < 0:
+        if block < 0:
             yield pd.DataFrame({"id": new["id"], "role": role, "burst": 0, "version": 1})
             return
         parts = [new["us"].to_numpy(np.int64), new["id"].to_numpy(np.int64), new["own"].to_numpy(bool),
                  np.full(len(new), -1, np.int8)]
+        addr = new["addr"].to_numpy(object)
         if self.seen.exists():
             kinds = np.int64, np.int64, bool, np.int8
-            parts = [np.concatenate([np.frombuffer(bytes(old), kind), p])
-                     for old, kind, p in zip(self.seen.get(), kinds, parts)]
+            names, who, *old = self.seen.get()
+            place = pd.factorize(np.concatenate([np.array(list(names), object), addr]))
+            who = np.concatenate([np.frombuffer(bytes(who), np.int64), place[0][len(names):]])
+            names = place[1]
+            parts = [np.concatenate([np.frombuffer(bytes(o), kind), p]) for o, kind, p in zip(old, kinds, parts)]
         else:
+            who, names = pd.factorize(addr)
             # nothing can change once every row of the block and of the window behind it has passed
             self.handle.registerTimer(((int(block) + 2) * self.block + self.width) // 1000)
-        order = np.argsort(parts[0], kind="stable")
+        order = np.lexsort((parts[0], who))
+        who = who[order].astype(np.int64)
         us, ids, own, flags = (p[order] for p in parts)
-        counts = np.searchsorted(us, us, "right") - np.searchsorted(us, us - self.width, "left")
+        # one axis for all addresses, with more than a window between them
+        axis = us - (int(block) * self.block - self.width) + who * (self.block + 2 * self.width + 2)
+        counts = np.searchsorted(axis, axis, "right") - np.searchsorted(axis, axis - self.width, "left")
         now = (counts > self.limits[role]).astype(np.int8)
         changed = own & (now != flags)
-        self.seen.update((us.tobytes(), ids.tobytes(), own.tobytes(), now.tobytes()))
+        self.seen.update((list(names), who.tobytes(), us.tobytes(), ids.tobytes(), own.tobytes(), now.tobytes()))
         yield pd.DataFrame({"id": ids[changed], "role": role, "burst": now[changed].astype(np.int32), "version": len(us)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -78,10 +89,11 @@ def burst_updates(stream: DataFrame, window_s: int = 180, sender_limit: int = 30
     own = F.expr(f"(us - pmod(us, {block})) div {block}")
     blocks = F.when(idle, F.array(-1 - F.pmod(F.xxhash64("id"), F.lit(IDLE)))).when(
         F.col("us") + width >= (own + 1) * block, F.array(own, own + 1)).otherwise(F.array(own))
+    bucket = F.when(idle, F.lit(0)).otherwise(F.pmod(F.xxhash64("e.addr"), F.lit(BUCKETS))).cast("int")
     rows = rows.select("id", "timestamp", "us", "e.role", F.when(idle, "").otherwise(F.col("e.addr")).alias("addr"),
-                       F.coalesce(own, F.lit(-1)).alias("_own"), F.explode(blocks).alias("block"))
+                       bucket.alias("bucket"), F.coalesce(own, F.lit(-1)).alias("_own"), F.explode(blocks).alias("block"))
     rows = rows.withColumn("own", F.col("block") == F.col("_own")).drop("_own")
-    return rows.groupBy("role", "addr", "block").transformWithStateInPandas(
+    return rows.groupBy("role", "bucket", "block").transformWithStateInPandas(
         statefulProcessor=BurstProcessor(width, block, {"s": sender_limit, "r": recipient_limit}),
         outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
 
