@@ -100,3 +100,25 @@ def test_damaged_units_in_a_stream(spark, tmp_path):
         size = len(b"".join(units))
         # a damaged unit at the end stays open
         assert found(rows, flow) == [w for w in expected(units) if not (w[2] and w[0] + len(w[1]) == size)], flow
+
+
+def test_jump_table_takes_few_steps(monkeypatch):
+    # all entries are followed at once, and a table is stored as what changes from entry to entry
+    rng, parts = random.Random(3), []
+    for _ in range(60):
+        body = "".join(rng.choice("ab \u0434") for _ in range(rng.randrange(60))).encode("utf-16-be")
+        parts.append((16 + len(body)).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes(8) + body)
+        parts.append(rng.choice([b"", b"\x7f\xff\xff\xff\xff", bytes(9), b"\x00\x00\x00\x05abc"]))
+    data, longest = b"".join(parts), 700
+    pd_step = pd_.step
+    heads, size, calls = pd_.plausible_headers(data, longest), len(data) - longest - 16, []
+    want = []
+    for pos in range(longest):
+        while pos < size:
+            pos, _ = pd_step(data, heads, pos, longest)
+        want.append(min(pos - size, longest - 1))
+    monkeypatch.setattr(pd_, "step", lambda *a: calls.append(a) or pd_step(*a))
+    table = pd_.jump_table(data, size, longest)
+    assert table.tolist() == want and len(calls) < longest // 2
+    packed = pd_._packed(table)
+    assert pd_._unpacked(packed).tolist() == want and len(packed) < table.nbytes // 4

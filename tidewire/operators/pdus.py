@@ -1,7 +1,7 @@
 """Jobs over protocol data units: build, frame, decode, select, report."""
 from __future__ import annotations
 
-import re
+import zlib
 from bisect import bisect_right
 
 from pyspark.sql import DataFrame, functions as F
@@ -166,14 +166,27 @@ HEADER = 16
 #: tables that are put together at once
 FAN = 128
 
-_COMMAND = re.compile(rb"(?=...." + rb"(?:" + b"|".join(
-    re.escape(c.to_bytes(4, "big")) for c in config.COMMANDS) + rb"))", re.DOTALL)
+_COMMANDS = sorted(config.COMMANDS)
+#: offsets looked at in one go
+_CHUNK = 1 << 20
+
+
+def _fields(data: bytes, at: int, count: int):
+    """The four-byte numbers at ``count`` offsets from ``at`` on."""
+    import numpy as np
+    b = np.frombuffer(data, np.uint8, count + 3, at).astype(np.uint32)
+    return b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
 
 
 def plausible_headers(data: bytes, longest: int = LONGEST) -> list[int]:
     """All offsets with a believable length and a known command."""
-    return [m.start() for m in _COMMAND.finditer(data)
-            if HEADER <= int.from_bytes(data[m.start():m.start() + 4], "big") <= longest]
+    import numpy as np
+    known, out = np.array(_COMMANDS, np.uint32), []
+    for at in range(0, len(data) - 7, _CHUNK):
+        values = _fields(data, at, min(_CHUNK + 4, len(data) - at - 3))
+        fits = np.flatnonzero((values[:-4] >= HEADER) & (values[:-4] <= longest))
+        out += (fits[np.isin(values[fits + 4], known)] + at).tolist()
+    return out
 
 
 def step(data: bytes, heads: list[int], pos: int, longest: int = LONGEST) -> tuple[int, bool]:
@@ -192,19 +205,44 @@ def step(data: bytes, heads: list[int], pos: int, longest: int = LONGEST) -> tup
 def jump_table(data: bytes, size: int, longest: int = LONGEST):
     """For every offset below ``longest`` where a chain may enter: the offset behind ``size`` where it comes out."""
     import numpy as np
-    heads, out = plausible_headers(data, longest), {}
-    for entry in range(min(longest, size)):
+    heads, width = plausible_headers(data, longest), min(longest, size)
+    # one step from every entry
+    at, lengths = np.arange(width), np.zeros(width, np.int64)
+    count = max(0, min(width, len(data) - 3))
+    if count:
+        lengths[:count] = _fields(data, 0, count)
+    places = np.append(np.array(heads, np.int64), np.iinfo(np.int64).max)
+    damaged = np.minimum(np.minimum(at + longest, np.maximum(len(data), at + 1)), places[np.searchsorted(places, at, "right")])
+    after = np.where((lengths >= HEADER) & (lengths <= longest), at + lengths, damaged)
+    # twice as many steps a round
+    while (inside := after < width).any():
+        after[inside] = after[after[inside]]
+    # few chains are left behind these entries; they are followed one by one
+    left, which = np.unique(after, return_inverse=True)
+    out: dict[int, int] = {}
+    for entry in left.tolist():
         path, pos = [], entry
         while pos < size and pos not in out:
             path.append(pos)
             pos, _ = step(data, heads, pos, longest)
         end = out[pos] if pos < size else min(pos - size, longest - 1)
-        out.update(dict.fromkeys(path, end))
+        out.update(dict.fromkeys([*path, entry], end))
     table = np.arange(longest, dtype=np.int32) - size
-    table[:min(longest, size)] = [out[e] for e in range(min(longest, size))]
+    table[:width] = np.array([out[e] for e in left.tolist()], np.int32)[which] if width else []
     return table
 
 
+def _packed(table) -> bytes:
+    """A table as bytes; neighbouring entries mostly come out at one place, so their differences are stored."""
+    import numpy as np
+    return zlib.compress(np.diff(table, prepend=np.int32(0)).astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(jumps):
+    import numpy as np
+    return np.cumsum(np.frombuffer(zlib.decompress(bytes(jumps)), np.int32), dtype=np.int32)
+
+
 def _segment(pdf, width: int, longest: int):
     """Bytes of a segment and of what follows it, its own size, its first offset, packet ends and times."""
     import numpy as np
@@ -212,7 +250,7 @@ def _segment(pdf, width: int, longest: int):
     first, origin = int(pdf["segment"].iloc[0]) * width, int(pdf["start"].iloc[0])
     data = b"".join(pdf["payload"])[first - origin:][:width + longest + HEADER]
     ends = np.cumsum([len(x) for x in pdf["payload"]]) + origin
-    return data, min(width, int(pdf["total"].iloc[0]) - first), first, ends, pdf["us"].to_numpy()
+    return data, min(width, int(pdf["total"].iloc[0]) - first), first, ends, pdf["us"].to_numpy() if "us" in pdf else None
 
 
 def _tables(width: int, longest: int):
@@ -220,7 +258,7 @@ def _tables(width: int, longest: int):
         import pandas as pd
         data, size, *_ = _segment(pdf, width, longest)
         return pd.DataFrame({"flow": pdf["flow"].iloc[:1], "segment": pdf["segment"].iloc[:1],
-                             "jumps": [jump_table(data, size, longest).tobytes()]})
+                             "jumps": [_packed(jump_table(data, size, longest))]})
     return run
 
 
@@ -231,9 +269,9 @@ def _compose(key, pdf):
     pdf = pdf.sort_values("segment")
     table = None
     for jumps in pdf["jumps"]:
-        jumps = np.frombuffer(jumps, np.int32)
+        jumps = _unpacked(jumps)
         table = jumps if table is None else jumps[table]
-    return pd.DataFrame({"flow": [key[0]], "segment": [key[1]], "jumps": [table.tobytes()]})
+    return pd.DataFrame({"flow": [key[0]], "segment": [key[1]], "jumps": [_packed(table)]})
 
 
 def _walk(pdf):
@@ -244,7 +282,7 @@ def _walk(pdf):
     at, entries = int(pdf["entry"].iloc[0]), []
     for jumps in pdf["jumps"]:
         entries.append(at)
-        at = int(np.frombuffer(jumps, np.int32)[at])
+        at = int(_unpacked(jumps)[at])
     return pd.DataFrame({"flow": pdf["flow"], "segment": pdf["segment"], "entry": entries})
 
 
@@ -318,7 +356,8 @@ def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp"
     high = F.floor((F.col("cum_size") - 1) / F.lit(segment_bytes))
     placed = placed.select(*FLOW, "flow", "us", "payload", start.alias("start"), F.col("all_size").alias("total"),
                            F.explode(F.sequence(low, high)).alias("segment"))
-    tables = cut_lineage(placed.groupBy("flow", "segment").applyInPandas(
+    narrow = placed.select("flow", "segment", "start", "total", "payload")
+    tables = cut_lineage(narrow.groupBy("flow", "segment").applyInPandas(
         _tables(segment_bytes, longest), "flow string, segment bigint, jumps binary"), "jumps")
     cut = placed.join(_entries(tables), ["flow", "segment"]).groupBy("flow", "segment").applyInPandas(
         _cut(segment_bytes, longest), f"{_FLOW_TYPES}, unit_start bigint, raw binary, us bigint")
