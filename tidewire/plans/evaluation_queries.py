@@ -7,6 +7,7 @@ from .. import config
 from ..functions import sender as sn, text as tx
 from ..functions.chars import SPACE
 from ..operators import evaluation as ev, prepare as pr, thresholds as th
+from ..session import cut_lineage
 from . import sql_text as s
 from .catalog import query
 from .driver_tables import document_texts, message_rows, with_label
@@ -335,7 +336,9 @@ _SPECIAL = ["day_of_week", "time_category_anomaly"]
     *[f"SELECT 'categorical', '{c}'" for c in _SPECIAL]])))
 def feature_kinds(spark, sf):
     """Which columns count as numeric, two-valued and categorical."""
-    kinds = pr.feature_types(labelled_features(spark, sf))
+    rows = labelled_features(spark, sf)
+    # written once: the columns are passed over twice
+    kinds = pr.feature_types(cut_lineage(rows.select(*dict.fromkeys([*config.RECONSTRUCTION_FEATURES, *_SPECIAL])), "kinds"))
     return spark.createDataFrame([(k, c) for k, cs in kinds.items() for c in cs],
                                  "kind string, feature string")
 
