@@ -1,6 +1,8 @@
 """Streaming forms, each fed from files written out of the test tables."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
@@ -11,18 +13,27 @@ from ..streaming import bursts, live
 from ..streaming.frames import frame_pdus_stream
 from . import sql_text as s
 from .catalog import query
-from .driver_tables import BURST, message_rows
+from .driver_tables import BURST, document_texts, message_rows
 from .pdu_queries import FRAMED, FRAMED_BODY, PARTS, framed_rows, packets
 from .sql_text import MSG, TEXTS, sql
 
 
-def _feed(df: DataFrame, parts: list, path: str) -> str:
+#: bytes of packets in a file of a feed
+FEED_BYTES = 256 << 20
+
+
+def _feed(df: DataFrame, parts: list, path: str, files: int = 4) -> str:
     """Write the given slices one after the other, so that the stream meets them in order."""
     for cond in parts:
-        df.where(cond).repartition(4).write.mode("append").parquet(path)
+        df.where(cond).repartition(files).write.mode("append").parquet(path)
     return path
 
 
+def _packet_bytes(spark, sf) -> int:
+    """About how many bytes the packets of all texts have: two a character and a header for 67 characters."""
+    return 3 * (document_texts(spark, sf).agg(F.sum(F.length("message_text"))).first()[0] or 0)
+
+
 @query("framed_stream", sql(TEXTS, PARTS, FRAMED, body=FRAMED_BODY))
 def framed_stream(spark, sf):
     """Units and damage framed from a packet stream in several micro-batches."""
@@ -47,7 +58,8 @@ FROM (SELECT doc_id, sum(33 + ls + ld + sm) + max(CASE WHEN doc_id % 7 IN (3, 5)
   FROM unit GROUP BY doc_id) GROUP BY 1"""))
 def captured_packets_stream(spark, sf):
     """Live packet filter: port and minimum size, counted by flow through the batch hook."""
-    path = _feed(packets(spark, sf), [F.lit(True)], work_dir(spark, "packets"))
+    files = max(4, math.ceil(_packet_bytes(spark, sf) / FEED_BYTES))
+    path = _feed(packets(spark, sf), [F.lit(True)], work_dir(spark, "packets"), files)
     out = work_dir(spark, "captured")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
