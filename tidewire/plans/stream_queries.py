@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..operators import thresholds as th
+from ..operators.ordered import in_ranges
 from ..session import work_dir
 from ..sources.packets import packet_stream
 from ..streaming import bursts, live
@@ -18,8 +19,8 @@ from .pdu_queries import FRAMED, FRAMED_BODY, PARTS, framed_rows, packets
 from .sql_text import MSG, TEXTS, sql
 
 
-#: bytes of packets in a file of a feed
-FEED_BYTES = 256 << 20
+#: bytes of packets in a file of a feed, and in a slice whose packets the stream meets at once
+FEED_BYTES, SLICE_BYTES = 256 << 20, 512 << 20
 
 
 def _feed(df: DataFrame, parts: list, path: str, files: int = 4) -> str:
@@ -37,11 +38,12 @@ def _packet_bytes(spark, sf) -> int:
 @query("framed_stream", sql(TEXTS, PARTS, FRAMED, body=FRAMED_BODY))
 def framed_stream(spark, sf):
     """Units and damage framed from a packet stream in several micro-batches."""
-    p = packets(spark, sf)
-    top = p.agg(F.max("packet_id")).first()[0] // 1_000_000
-    cuts = [top // 3 * 1_000_000 + 2, top * 2 // 3 * 1_000_000 + 1]
     pid = F.col("packet_id")
-    path = _feed(p, [pid <= cuts[0], (pid > cuts[0]) & (pid <= cuts[1]), pid > cuts[1]],
+    # written once in ranges, so that a slice reads its own files alone
+    p = in_ranges(packets(spark, sf).where(pid.isNotNull()), [], "packet_id").drop("_range")
+    n = max(3, math.ceil(_packet_bytes(spark, sf) / SLICE_BYTES))
+    cuts = p.agg(F.percentile_approx(pid, F.array(*[F.lit(k / n) for k in range(1, n)]))).first()[0]
+    path = _feed(p, [pid <= cuts[0], *[(pid > a) & (pid <= b) for a, b in zip(cuts, cuts[1:])], pid > cuts[-1]],
                  work_dir(spark, "packets"))
     out = work_dir(spark, "frames")
     # packets below 16 bytes are dropped by the live filter, so the feed is read without it
