@@ -326,3 +326,44 @@ def test_one_burst_state_holds_many_addresses():
     # the late row is context of another block: it changes the flag of "a" alone
     assert call((5, at - 1, "a", False)) == {3: 1}
     assert call((6, at + 3 * minute + 2, "b", True), (7, at + 5, "c", True)) == {6: 0, 7: 0}
+
+
+def feature_table(spark, n=300):
+    from tidewire import config
+    rng = np.random.default_rng(5)
+    cols = config.FOREST_FEATURES
+    rows = [(i, int(rng.random() < 0.1), *map(float, rng.normal(size=len(cols)))) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, is_anomaly int, " + ", ".join(f"{c} double" for c in cols))
+
+
+def test_forest_queries_score_every_row_once(spark, monkeypatch):
+    from tidewire import config
+    from tidewire.plans import model_queries as mq
+    monkeypatch.setitem(config.FOREST_PARAMS, "trees", 6)
+    df = pr.add_composites(feature_table(spark))
+    model = mq.fitted_forest(df)
+    want = {r["id"]: (r["score"], r["vote"]) for r in model.vote(model.score(df)).collect()}
+    calls, real = [], fo.Forest.score
+    monkeypatch.setattr(fo.Forest, "score", lambda self, *a, **k: calls.append(1) or real(self, *a, **k))
+    monkeypatch.setattr(mq, "feature_rows", lambda spark, sf: df)
+    assert {r["id"]: (r["score"], r["vote"]) for r in mq.forest_scores(spark, "").collect()} == want
+    assert len(calls) == 1
+    assert mq.forest_summary(spark, "").first()["total_samples"] == 300
+    assert len(calls) == 2
+
+
+def test_correlations_add_blocks_up(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(float(a), float(3 * a + b) if i % 5 else None, 0.7, float(i), None) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    calls, real = [], pr.linear.summed
+    monkeypatch.setattr(pr.linear, "summed", lambda *a: calls.append(1) or real(*a))
+    got = pr.correlations(df, ["a", "b", "c", "d", "e"])
+    assert calls == [1]  # one sum over blocks, not three aggregates per pair
+    a, b, _, d, _ = (np.array([np.nan if v is None else v for v in c]) for c in zip(*rows))
+    here = ~np.isnan(b)
+    for pair, (x, y) in {("a", "b"): (a, b), ("b", "d"): (b, d), ("a", "d"): (a, d)}.items():
+        both = here if "b" in pair else slice(None)
+        assert got[pair] == pytest.approx(np.corrcoef(x[both], y[both])[0, 1], abs=1e-12)
+    assert all(v is None for p, v in got.items() if "c" in p or "e" in p)
+    assert pr.correlations(df.limit(0), ["a", "b"]) == {("a", "b"): None}

@@ -19,6 +19,8 @@ from ..session import cut_lineage
 NODE_TYPE = ("member int, tree int, node int, feature int, cut double, left int, right int, "
              "path double")
 MAX_NODES = 4_000_000
+#: rows that walk through the trees together
+SCORED = 8192
 
 
 def average_path(n: float) -> float:
@@ -136,74 +138,105 @@ class Forest:
         self.offsets = offsets or []
 
     @classmethod
-    def fit(cls, df: DataFrame, features: list[str], key: str = "id", psi: int = 256,
-            params: dict | None = None) -> "Forest":
+    def grow(cls, df: DataFrame, features: list[str], key: str = "id", psi: int = 256,
+             params: dict | None = None) -> "Forest":
+        """The trees alone, without the label cuts."""
         table = fit_iforest(df, features, key, psi, params)
         nodes = table.limit(MAX_NODES + 1).toPandas()  # size bounded by the parameters
         if nodes.empty:
             raise ValueError("no rows to fit on")
-        model = cls(nodes.sort_values(["member", "tree", "node"]), features, psi)
+        return cls(nodes.sort_values(["member", "tree", "node"]), features, psi)
+
+    @classmethod
+    def fit(cls, df: DataFrame, features: list[str], key: str = "id", psi: int = 256,
+            params: dict | None = None) -> "Forest":
+        model = cls.grow(df, features, key, psi, params)
+        return model.set_offsets(cut_lineage(model.score(df, key).select("member_scores"), "members"), params)
+
+    def set_offsets(self, scored: DataFrame, params: dict | None = None) -> "Forest":
+        """The label cut of each member, from the scores of the rows it was fitted on."""
         share = {**config.FOREST_PARAMS, **(params or {})}["contamination"]
         from .ordered import exact_quantiles
-        scored = cut_lineage(model.score(df, key).select(*[
-            F.col("member_scores")[i].alias(f"m{i}") for i in range(model.members)]), "members")
-        cuts = exact_quantiles(scored, scored.columns, [share])
-        model.offsets = [cuts[f"m{i}"][0] for i in range(model.members)]
-        return model
+        each = scored.select(*[F.col("member_scores")[i].alias(f"m{i}") for i in range(self.members)])
+        cuts = exact_quantiles(each, each.columns, [share])
+        self.offsets = [cuts[f"m{i}"][0] for i in range(self.members)]
+        return self
 
     @property
     def members(self) -> int:
         return int(self.nodes["member"].max()) + 1
 
     def _arrays(self):
+        """Per member (feature, cut, path), a row per tree, level by level as full binary trees.
+
+        Below a leaf both sides lead to its path, so every row takes the same number of steps in every tree.
+        """
         out = []
         for member, rows in self.nodes.groupby("member"):
-            trees = []
-            for _, t in rows.groupby("tree"):
-                t = t.sort_values("node")
-                trees.append(tuple(t[c].to_numpy() for c in (
-                    "feature", "cut", "left", "right", "path")))
-            out.append(trees)
+            rows = rows.sort_values(["tree", "node"])
+            feature, cut, left, right, path = (rows[c].to_numpy() for c in ("feature", "cut", "left", "right", "path"))
+            first = np.flatnonzero(np.diff(rows["tree"].to_numpy(), prepend=-1))[:, None]
+            at, features, cuts = first, [], []
+            while (feature[at] >= 0).any():
+                inner = feature[at] >= 0
+                features.append(np.where(inner, feature[at], 0))
+                cuts.append(np.where(inner, cut[at], np.inf))
+                sides = [np.where(inner, first + side[at], at) for side in (left, right)]
+                at = np.stack(sides, axis=2).reshape(len(first), -1)
+            whole = lambda levels, kind: np.concatenate(
+                levels or [np.zeros((len(first), 0))], axis=1).astype(kind)
+            out.append((whole(features, np.int64), whole(cuts, float), path[at]))
         return out
 
     def score(self, df: DataFrame, key: str = "id", keep: list[str] | None = None) -> DataFrame:
         """Add ``member_scores`` and ``score``, both in (-1, 0); lower is more anomalous."""
+        import pyarrow as pa
         keep = [key] if keep is None else [key] + [c for c in keep if c != key]
         shared = df.sparkSession.sparkContext.broadcast(self._arrays())
-        scale = average_path(self.psi)
+        scale, width = average_path(self.psi), len(self.features)
         rows = df.select(*keep, F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0))
                                           for c in self.features]).alias("_x"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields
                            if f.name != "_x") + ", member_scores array<double>, score double"
 
+        def walk(x, forest):
+            n = len(x)
+            flat, rows = np.ascontiguousarray(x.T).ravel(), np.arange(n)
+            at, place, low = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, bool)
+            value, limit = np.empty(n), np.empty(n)
+            scores = []
+            for features, cuts, paths in forest:
+                total = np.zeros(n)
+                for feature, cut, path in zip(features * n, cuts, paths):
+                    at[:] = 0
+                    for _ in range(len(path).bit_length() - 1):
+                        feature.take(at, out=place, mode="clip")
+                        np.add(place, rows, out=place)
+                        flat.take(place, out=value, mode="clip")
+                        cut.take(at, out=limit, mode="clip")
+                        # a missing number is not below the cut and goes right
+                        np.less(value, limit, out=low)
+                        at *= 2
+                        at += 2
+                        at -= low
+                    at -= len(cut)
+                    path.take(at, out=value, mode="clip")
+                    total += value
+                scores.append(-np.power(2.0, -total / len(paths) / scale))
+            return np.stack(scores, axis=1)
+
         def run(batches):
             forest = shared.value
-            for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                x = np.stack(pdf["_x"].to_numpy()).astype(float)
-                at = np.arange(len(x))
-                scores = []
-                for trees in forest:
-                    total = np.zeros(len(x))
-                    for feature, cut, left, right, path in trees:
-                        node = np.zeros(len(x), dtype=np.int64)
-                        while True:
-                            f = feature[node]
-                            inner = f >= 0
-                            if not inner.any():
-                                break
-                            low = x[at, np.maximum(f, 0)] < cut[node]
-                            node = np.where(inner, np.where(low, left[node], right[node]), node)
-                        total += path[node]
-                    scores.append(-np.power(2.0, -total / len(trees) / scale))
-                out = pdf.drop(columns="_x")
-                both = np.stack(scores, axis=1)
-                out["member_scores"] = list(both)
-                out["score"] = both.mean(axis=1)
-                yield out
-
-        return rows.mapInPandas(run, schema)
+            for batch in batches:
+                for k in range(0, batch.num_rows, SCORED):
+                    b = batch.slice(k, SCORED)
+                    both = walk(b.column("_x").flatten().to_numpy(False).reshape(b.num_rows, width), forest)
+                    starts = pa.array(np.arange(b.num_rows + 1) * both.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.columns[:-1], pa.ListArray.from_arrays(starts, pa.array(both.ravel())),
+                         pa.array(both.mean(axis=1))], names=[*b.schema.names[:-1], "member_scores", "score"])
+
+        return rows.mapInArrow(run, schema)
 
     def vote(self, scored: DataFrame) -> DataFrame:
         """Add ``vote``: the rounded mean of member labels, -1 anomalous, 1 normal."""

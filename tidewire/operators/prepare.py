@@ -1,11 +1,14 @@
 """Prepare feature columns for the detectors."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from .. import config
 from ..functions.sender import cyclic
+from ..session import cut_lineage
+from . import linear
 from .ordered import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -36,22 +39,41 @@ def select_features(df: DataFrame, wanted: list[str] | None = None,
 
 
 def correlations(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair over rows where both are present, one pass.
+    """Pearson correlation of every pair over rows where both are present.
 
-    Constant columns give no value.
+    The columns are written once; products are added up from the smallest values on, and tasks multiply whole blocks of
+    rows. Constant columns give no value.
     """
     pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
     if not pairs:
         return {}
-
-    def corr(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-    row = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {p: row[f"c{i}"] for i, p in enumerate(pairs)}
+    width = len(cols)
+    data = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]), "numbers")
+    low = data.agg(*[F.min(c).alias(c) for c in data.columns]).first()
+    low = np.array([0.0 if v is None or not np.isfinite(v) else v for v in low])
+
+    def add(batches, total):
+        sums = total.reshape(4, width, width)
+        for b in batches:
+            x = np.stack([c.to_numpy(False).astype(float, copy=False) for c in b.columns], axis=1) - low
+            here = np.stack([c.is_valid().to_numpy(False) for c in b.columns], axis=1).astype(float)
+            x = np.where(here > 0, x, 0.0)
+            sums += here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x
+
+    n, first, second, both = linear.summed(data, 4 * width * width, add).reshape(4, width, width)
+
+    def value(i: int, j: int) -> float | None:
+        m = n[i, j]
+        if not m:
+            return None
+        squares = np.array([second[i, j], second[j, i]]) / m
+        means = np.array([first[i, j], first[j, i]]) / m
+        spread = squares - means * means
+        if (spread <= 1e-13 * squares).any():
+            return None
+        return float((both[i, j] / m - means[0] * means[1]) / np.sqrt(spread[0] * spread[1]))
+
+    return {(cols[i], cols[j]): value(i, j) for j in range(width) for i in range(j)}
 
 
 def drop_correlated(df: DataFrame, cols: list[str], limit: float = 0.85) -> list[str]:

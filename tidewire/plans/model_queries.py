@@ -20,27 +20,31 @@ def feature_rows(spark, sf) -> DataFrame:
     return cut_lineage(pr.add_composites(labelled_features(spark, sf)), "features")
 
 
-def fitted_forest(rows: DataFrame):
+def fitted_forest(rows: DataFrame, how=fo.Forest.fit):
     normal = rows.where("is_anomaly = 0")
     kept = pr.drop_correlated(normal, pr.select_features(normal))
-    return fo.Forest.fit(pr.zero_missing(normal, kept), kept)
+    return how(pr.zero_missing(normal, kept), kept)
+
+
+def scored_forest(rows: DataFrame):
+    """The fitted forest and the scores of all rows; the label cuts come from those of the normal rows."""
+    model = fitted_forest(rows, fo.Forest.grow)
+    scored = cut_lineage(model.score(pr.zero_missing(rows, model.features), keep=["is_anomaly"]), "scored")
+    return model.set_offsets(scored.where("is_anomaly = 0")), scored
 
 
 @query("forest_scores")
 def forest_scores(spark, sf):
     """Ensemble score, member vote and thresholded prediction of every message."""
-    rows = feature_rows(spark, sf)
-    model = fitted_forest(rows)
-    scored = cut_lineage(model.vote(model.score(rows, keep=["is_anomaly"])), "scored")
+    model, scored = scored_forest(feature_rows(spark, sf))
     cut = th.forest_threshold(scored, "score", "is_anomaly")
-    return fo.predict_forest(scored, cut).drop("member_scores")
+    return fo.predict_forest(model.vote(scored), cut).drop("member_scores")
 
 
 @query("forest_summary")
 def forest_summary(spark, sf):
     """Sample, anomaly and threshold summary of the forest."""
-    rows = feature_rows(spark, sf)
-    scored = cut_lineage(fitted_forest(rows).score(rows, keep=["is_anomaly"]), "scored")
+    _, scored = scored_forest(feature_rows(spark, sf))
     cut = th.forest_threshold(scored, "score", "is_anomaly")
     return fo.prediction_summary(fo.predict_forest(scored, cut), cut)
 
