@@ -367,3 +367,20 @@ def test_correlations_add_blocks_up(spark, monkeypatch):
         assert got[pair] == pytest.approx(np.corrcoef(x[both], y[both])[0, 1], abs=1e-12)
     assert all(v is None for p, v in got.items() if "c" in p or "e" in p)
     assert pr.correlations(df.limit(0), ["a", "b"]) == {("a", "b"): None}
+
+
+def test_reconstruction_works_its_matrix_out_once(spark, monkeypatch):
+    from tidewire.operators import reconstruct as rc
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, rng.normal(size=3)), float(i % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, flag double")
+    names, real = [], rc.cut_lineage
+    monkeypatch.setattr(rc, "cut_lineage", lambda d, name: names.append(name) or real(d, name))
+    model = rc.Reconstruction.fit(df, ["a", "b", "c", "flag"], k=2)
+    assert names == ["matrix"]
+    x = {r["id"]: np.array(r["_x"]) - model.center for r in model.prepare(df).collect()}
+    comps = model.pca.pc.toArray()
+    found = {r["id"]: r["error"] for r in model.errors(df).collect()}
+    for i, v in x.items():
+        assert found[i] == pytest.approx(max((v @ v - ((v @ comps) ** 2).sum()) / len(v), 0.0), abs=1e-12)
+    assert {r["id"]: r["error"] for r in model.errors(df.repartition(9)).collect()} == found

@@ -5,11 +5,14 @@ from one distributed covariance pass. Rows that the components describe badly ar
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
+from ..session import cut_lineage
 from . import prepare as pr
 from .thresholds import percentile_threshold
 
@@ -33,13 +36,15 @@ class Reconstruction:
         train, valid = pr.train_validation_split(df, key)
         matrix = model.prepare(train, key)
         width = len(model.names())
+        cols = [f"_f{i}" for i in range(width)]
+        flat = matrix.select(key, *[F.col("_x")[i].alias(c) for i, c in enumerate(cols)])
         if augment:
-            cols = [f"_f{i}" for i in range(width)]
-            flat = matrix.select(key, *[F.col("_x")[i].alias(c) for i, c in enumerate(cols)])
-            matrix = pr.augment(flat, cols, key).select(key, F.array(*cols).alias("_x"))
-        vectors = _as_vector(matrix, width)
+            flat = pr.augment(flat, cols, key)
+        # written once, because means and products pass over it three times
+        flat = cut_lineage(flat.select(*cols), "matrix")
         # the mean of what the components come from, all columns
-        model.center = list(matrix.agg(*[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(width)]).first())
+        model.center = list(flat.agg(*[F.avg(c) for c in cols]).first())
+        vectors = VectorAssembler(inputCols=cols, outputCol="_v").transform(flat).select("_v")
         model.pca = PCA(k=min(k, width), inputCol="_v", outputCol="_p").fit(vectors)
         model.threshold = percentile_threshold(model.errors(valid, key), "error", percentile)
         return model
@@ -65,30 +70,38 @@ class Reconstruction:
         """Add ``error``: mean squared difference between row and reconstruction.
 
         The components are orthonormal, so the squared difference is the squared length of the
-        centred row minus that of its projection; both are array expressions.
+        centred row minus that of its projection. Tasks add up column by column, so that a row's
+        error does not depend on the rows beside it. A row without a value somewhere gets 0.
         """
         prepared = self.prepare(df, key, keep)
-        comps = self.pca.pc.toArray().T.tolist()
-        dot = lambda x, c: F.aggregate(F.zip_with(x, F.array(*[F.lit(v) for v in c]),
-                                                  lambda a, b: a * b), F.lit(0.0),
-                                       lambda acc, v: acc + v)
-        square = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
+        comps, center = self.pca.pc.toArray().T, self.center
+        width = len(center)
         cols = [c for c in prepared.columns if c != "_x"]
-        prepared = prepared.select(*cols, F.zip_with(
-            "_x", F.array(*[F.lit(v) for v in self.center]), lambda a, b: a - b).alias("_x"))
-        proj = F.array(*[dot(F.col("_x"), c) for c in comps])
-        error = F.greatest((square(F.col("_x")) - square(proj)) / F.size("_x"), F.lit(0.0))
-        return prepared.select(*cols, error.alias("error"))
+
+        def run(batches):
+            for b in batches:
+                values = b.column("_x").flatten().to_numpy(False).astype(float, copy=False)
+                x = np.ascontiguousarray(values.reshape(b.num_rows, width).T)
+                gone = b.column("_x").flatten().is_null().to_numpy(False).reshape(b.num_rows, width).any(1)
+                left, proj = np.zeros(b.num_rows), np.zeros((len(comps), b.num_rows))
+                for j in range(width):
+                    column = x[j] - center[j]
+                    left += column * column
+                    for k, c in enumerate(comps):
+                        proj[k] += column * c[j]
+                held = np.zeros(b.num_rows)
+                for p in proj:
+                    held += p * p
+                error = np.maximum((left - held) / width, 0.0)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.where(gone, 0.0, error))],
+                                                 names=[*cols, "error"])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.schema.fields if f.name != "_x")
+        return prepared.select(*cols, "_x").mapInArrow(run, f"{kinds}, error double")
 
     def predict(self, df: DataFrame, key: str = "id", keep: list[str] | None = None) -> DataFrame:
         out = self.errors(df, key, keep)
         return out.withColumn("prediction", (F.col("error") > F.lit(self.threshold)).cast("int"))
 
 
-def _as_vector(matrix: DataFrame, width: int) -> DataFrame:
-    cols = [f"_c{i}" for i in range(width)]
-    flat = matrix.select(*[F.col("_x")[i].alias(c) for i, c in enumerate(cols)])
-    return VectorAssembler(inputCols=cols, outputCol="_v").transform(flat).select("_v")
-
-
 __all__ = ["PCAModel", "Reconstruction", "config", "vector_to_array"]
