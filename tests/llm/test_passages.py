@@ -66,3 +66,21 @@ def test_results_do_not_depend_on_the_lists(docs, rows, monkeypatch, least):
                     gone[at:at + width] = [True] * width
             want[i] = sum(gone)
         assert {r.doc_id: r.n_removed for r in cut.without_repeats(docs).collect()} == want
+
+
+def test_grams_beside_look_at_a_stretch_once(spark, monkeypatch):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    header = words(40)
+    texts = [f"{words(70)} {header} {words(70)}" for _ in range(30)]
+    made, real = [], passages.grams_beside
+
+    def kept(*args):
+        made.append(real(*args))
+        return made[-1]
+    monkeypatch.setattr(passages, "grams_beside", kept)
+    for copies in (1, 20):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * copies)], "doc_id long, text string").repartition(4)
+        assert len(passages.hot_anchors(docs, "word", 50, 12).crowded)
+    once, often = ({r["gram"]: r["n"] for r in m.groupBy("gram").agg(F.sum("n").alias("n")).collect()} for m in made)
+    assert once == often and max(once.values()) >= passages.CROWDED

@@ -127,23 +127,42 @@ def _runs(unit, width, gram, hot):
     return run
 
 
-def _grams_beside(unit, width, gram, anchors):
-    """(gram, stretch) of all grams in the stretches of some anchors."""
+def _grams_beside(unit, width, gram):
+    """(gram, n): how many of the stretches ``at`` of a block's texts hold a gram."""
     def run(batches):
         for b in blocks(batches):
             codes, offsets = UNITS[unit](b.column("text"))
-            text, anchor, stretch, start, n = stretches(codes, offsets, width, gram)
-            near = np.flatnonzero(listed(anchor.view(np.uint64), anchors.value))
-            if not len(near):
-                continue
-            size = n[near] + width - gram
-            row = np.repeat(near, size)
-            place = (offsets[text] + start)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            found = SpanHash(codes)(place, place + gram).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(stretch[row])], names=["gram", "stretch"])
+            wanted = b.column("at")
+            text = np.repeat(np.arange(b.num_rows), wanted.value_lengths().to_numpy(False))
+            at = wanted.flatten().to_numpy()
+            begin, size = offsets[text] + (at >> MOST_BITS), (at & ((1 << MOST_BITS) - 1)) + width - gram
+            # of two rows with one doc_id only the text that the stretch is from surely reaches so far
+            inside = begin + size + gram - 1 <= offsets[text + 1]
+            begin, size = begin[inside], size[inside]
+            row = np.repeat(np.arange(len(begin)), size)
+            place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            found = SpanHash(codes)(place, place + gram)
+            # a gram counts once a stretch
+            order = np.lexsort((found, row))
+            found, row = found[order], row[order]
+            once = np.ones(len(found), bool)
+            once[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+            grams, n = np.unique(found[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
     return run
 
 
+def grams_beside(sample: DataFrame, firsts: DataFrame, sizes: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
+    """gram, n: in how many distinct stretches of crowded anchors a gram stands, as parts to add up.
+
+    Every stretch of ``firsts`` is looked at in one place only, so that copies of a text give no rows of their own.
+    """
+    crowded = F.broadcast(sizes.where(F.col("n") >= CROWDED).select("anchor"))
+    places = firsts.join(crowded, "anchor", "left_semi").groupBy(F.col("f.doc_id").alias("doc_id")).agg(
+        F.collect_list("f.at").alias("at"))
+    return sample.join(places, "doc_id").mapInArrow(_grams_beside(unit, width, gram), "gram long, n long")
+
+
 def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int) -> Hot:
     """What a sample of about ``SAMPLE`` documents shows as crowded grams and frequent anchors."""
     spark = docs.sparkSession
@@ -157,13 +176,12 @@ def hot_anchors(docs: DataFrame, unit: str, width: int, gram: int) -> Hot:
         return np.unique(np.array([r[0] for r in top.select(key).collect()], np.int64).view(np.uint64))
 
     plain = sample.mapInArrow(_runs(unit, width, gram, spark.sparkContext.broadcast(NOTHING_HOT)), RUNS)
-    anchors = most(plain.groupBy("anchor").agg(F.countDistinct("stretch").alias("n")), "anchor", CROWDED)
-    crowded = anchors
-    if len(anchors):
-        beside = sample.mapInArrow(
-            _grams_beside(unit, width, gram, spark.sparkContext.broadcast(anchors)), "gram long, stretch long")
-        crowded = np.union1d(anchors, most(
-            beside.groupBy("gram").agg(F.countDistinct("stretch").alias("n")), "gram", CROWDED))
+    firsts = staged(plain.groupBy("anchor", "stretch").agg(F.min(F.struct("doc_id", "at")).alias("f")), "stretches")
+    sizes = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    crowded = most(sizes, "anchor", CROWDED)
+    if len(crowded):
+        beside = grams_beside(sample, firsts, sizes, unit, width, gram)
+        crowded = np.union1d(crowded, most(beside.groupBy("gram").agg(F.sum("n").alias("n")), "gram", CROWDED))
     avoiding = spark.sparkContext.broadcast(Hot(crowded, NOTHING_HOT.frequent))
     # two documents: such an anchor surely occurs again, in every reading
     rows = sample.mapInArrow(_runs(unit, width, gram, avoiding), RUNS).groupBy("anchor").agg(
