@@ -181,6 +181,15 @@ def test_csv_encodings(spark, tmp_path):
     assert tb.read_messages_csv(spark, str(tmp_path / "UTF-16.csv"), "auto").count() == 1
 
 
+def test_letters_of_all_encodings(spark):
+    from tidewire.plans.table_queries import _JSHARED, _SHARED
+    texts = [(k, "".join(map(chr, range(k, k + 64)))) for k in [*range(0, 0xD800, 64), *range(0xE000, 0x10FFFF, 64 * 97)]]
+    df = spark.createDataFrame(texts, "k int, t string")
+    both = df.select(*[F.regexp_replace("t", F.lit(p), F.lit("?")) for p in (_JSHARED, _SHARED)]).collect()
+    assert len(both) == len(texts) and all(a == b for a, b in both)
+    assert sum(len(a) - a.count("?") for a, _ in both) == 95 + 1 + 64 + 10 - 1
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(i, float(i), float(2 * i), 1.0, float(i % 2)) for i in range(50)],
                                "id long, a double, b double, k double, f double")
