@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,18 @@ def test_grams_beside_look_at_a_stretch_once(spark, monkeypatch):
         assert len(passages.hot_anchors(docs, "word", 50, 12).crowded)
     once, often = ({r["gram"]: r["n"] for r in m.groupBy("gram").agg(F.sum("n").alias("n")).collect()} for m in made)
     assert once == often and max(once.values()) >= passages.CROWDED
+
+
+def test_rows_of_stretches_are_small():
+    # anchors keep 40 bits; zeros beside zeros are what the shuffle's compression takes out
+    codes, offsets = passages.UNITS["byte"](pa.array([bytes(random.Random(3).choices(range(97, 123), k=4000)).decode()]))
+    anchor = passages.stretches(codes, offsets, 100, 24)[1]
+    assert len(anchor) > 20 and not (anchor & 0xFFFFFF).any() and len(set(anchor.tolist())) > 20
+
+
+def test_span_lists(spark):
+    rows = [(1, 0, 100), (1, 0, 100), (1, (1 << 31) - 5000, (1 << 31) - 1), (2, 7, 4202)]
+    found = passages.span_lists(spark.createDataFrame(rows, "doc_id long, begin long, end long"))
+    assert found.schema["spans"].dataType.simpleString() == "array<struct<begin:bigint,end:bigint>>"
+    assert {r.doc_id: {tuple(s) for s in r.spans} for r in found.collect()} == {
+        1: {(0, 100), ((1 << 31) - 5000, (1 << 31) - 1)}, 2: {(7, 4202)}}

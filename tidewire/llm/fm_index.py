@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import blocks, flat, word_spans
-from .passages import covered, found_rows, merged_runs, repeated_places, shards
+from .passages import covered, found_rows, merged_runs, repeated_places, shards, span_lists
 
 WIDTH = 50
 GRAM = 12
@@ -147,8 +147,7 @@ def _index(width):
 
 def repeated_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, spans): word ranges [begin, end) of windows that also start in a smaller doc_id."""
-    spans = repeated_places(docs, "word", width, gram, _index(width), F.expr("first_doc < doc_id"), True)
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    return span_lists(repeated_places(docs, "word", width, gram, _index(width), F.expr("first_doc < doc_id"), True))
 
 
 def _kept(batches):

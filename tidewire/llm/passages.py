@@ -15,6 +15,9 @@ go by the text beside it. Equal windows hold equal grams, so they still meet, wh
 repeats as a whole stays with one anchor, as equal stretches: rows of an anchor frequent in the sample are
 dealt out by document and place, merged there, and the firsts of the deals merged again. The sample steers
 only where rows go; results do not depend on it.
+
+Anchors keep the leading 40 bits of a fingerprint: they only bring rows together, and windows are told apart by
+their symbols. A stretch's own fingerprint is whole.
 """
 from __future__ import annotations
 
@@ -39,6 +42,8 @@ FREQUENT = 32
 DEALS = 256
 #: grams and anchors of either list, the most crowded first
 LISTED = 1 << 17
+#: bits of a gram's fingerprint that anchors keep; the rest is zero, which makes rows of stretches smaller when shuffled
+LEADING = np.uint64((1 << 64) - (1 << 24))
 RUNS = "doc_id long not null, anchor long not null, stretch long not null, at long not null, deal int not null"
 STRETCHES = "anchor long, stretch long, doc_id long, start long, n int, symbols binary, deals array<int>"
 FOUND = ("anchor long not null, stretch long not null, at int not null, until int not null, "
@@ -92,7 +97,7 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int, cro
         return none, none, none, none, none
     spans = SpanHash(codes)
     place = np.arange(len(codes) - gram + 1)
-    marks = spans(place, place + gram)
+    marks = spans(place, place + gram) & LEADING
     # crowded grams last, then by fingerprint, then by place: the leftmost of equal marks is the smallest
     low = np.uint64(max(20, int(len(codes)).bit_length()))
     key = ((marks >> (low + np.uint64(1))) << low) | place.astype(np.uint64)
@@ -141,7 +146,7 @@ def _grams_beside(unit, width, gram):
             begin, size = begin[inside], size[inside]
             row = np.repeat(np.arange(len(begin)), size)
             place = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            found = SpanHash(codes)(place, place + gram)
+            found = SpanHash(codes)(place, place + gram) & LEADING
             # a gram counts once a stretch
             order = np.lexsort((found, row))
             found, row = found[order], row[order]
@@ -297,6 +302,19 @@ def found_rows(rows: pa.Table, stretch_of, at, until, doc, start, own) -> pa.Rec
         names=["anchor", "stretch", "at", "until", "first_doc", "first_start", "deals"])
 
 
+def span_lists(places: DataFrame) -> DataFrame:
+    """(doc_id, spans) of ``repeated_places``: the distinct spans of each document.
+
+    A span travels as one number, its begin and its length, which is below that of a longest stretch.
+    """
+    bits = MOST_BITS + 8
+    packed = F.shiftleft("begin", bits).bitwiseOR(F.col("end") - F.col("begin"))
+    lists = places.groupBy("doc_id").agg(F.collect_set(packed).alias("packed"))
+    begin, length = lambda x: F.shiftright(x, bits), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1))
+    return lists.select("doc_id", F.transform("packed", lambda x: F.struct(
+        begin(x).alias("begin"), (begin(x) + length(x)).alias("end"))).alias("spans"))
+
+
 def covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` positions lie in a span."""
     edge = np.zeros(n + 1, np.int64)

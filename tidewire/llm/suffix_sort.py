@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import BYTE_CODES, SpanHash, blocks, flat
-from .passages import covered, found_rows, merged_runs, repeated_places, shards
+from .passages import covered, found_rows, merged_runs, repeated_places, shards, span_lists
 
 WIDTH = 100
 GRAM = 24
@@ -339,8 +339,7 @@ def _index(width):
 def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, spans): byte ranges [begin, end) covered by windows that also start earlier."""
     earlier = F.expr("first_doc < doc_id or (first_doc = doc_id and first_start < start)")
-    spans = repeated_places(docs, "byte", width, gram, _index(width), earlier, False)
-    return spans.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    return span_lists(repeated_places(docs, "byte", width, gram, _index(width), earlier, False))
 
 
 def _kept(batches):
