@@ -96,21 +96,28 @@ def stretches(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int, cro
     if len(codes) < width:
         return none, none, none, none, none
     spans = SpanHash(codes)
-    place = np.arange(len(codes) - gram + 1)
-    marks = spans(place, place + gram) & LEADING
+    grams = len(codes) - gram + 1
+    marks = spans(slice(0, grams), slice(gram, gram + grams))
+    marks &= LEADING
     # crowded grams last, then by fingerprint, then by place: the leftmost of equal marks is the smallest
     low = np.uint64(max(20, int(len(codes)).bit_length()))
-    key = ((marks >> (low + np.uint64(1))) << low) | place.astype(np.uint64)
-    key |= listed(marks, crowded).astype(np.uint64) << np.uint64(63)
-    chosen = (sliding_minimum(key, width - gram + 1) & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+    key = marks >> (low + np.uint64(1))
+    key <<= low
+    key |= np.arange(grams, dtype=np.uint64)
+    if len(crowded):
+        key |= listed(marks, crowded).astype(np.uint64) << np.uint64(63)
+    chosen = sliding_minimum(key, width - gram + 1)
+    chosen &= np.uint64((1 << int(low)) - 1)
+    chosen = chosen.view(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(chosen)]
     inside = np.arange(len(chosen)) + width <= offsets[text + 1]
     change = np.ones(len(chosen), bool)
     change[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(change & inside)
     # a stretch ends at the next change or where the windows of its text end
-    stop = np.minimum(np.append(np.flatnonzero(change), len(chosen))[
-        np.searchsorted(np.flatnonzero(change), begin, "right")], offsets[text[begin] + 1] - width + 1)
+    begin = np.flatnonzero(change)
+    stop, fits = np.append(begin[1:], len(chosen)), inside[begin]
+    begin, stop = begin[fits], stop[fits]
+    stop = np.minimum(stop, offsets[text[begin] + 1] - width + 1)
     n = stop - begin
     anchor = marks[chosen[begin]]
     stretch = spans(begin, stop + width - 1) ^ (chosen[begin] - begin).astype(np.uint64)

@@ -18,10 +18,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BYTE_CODES, SpanHash, blocks, flat
-from .passages import covered, found_rows, merged_runs, repeated_places, shards, span_lists
+from .common import blocks, flat
+from .passages import covered, found_rows, repeated_places, shards, span_lists
 
 WIDTH = 100
 GRAM = 24
@@ -100,16 +101,31 @@ def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> n
     out = np.full(len(a), cap, np.int64)
     live = np.arange(len(a))
     for at in range(0, cap, 8):
-        x = wide[a[live] + at] ^ wide[b[live] + at]
+        x = wide[a + at] ^ wide[b + at]
+        same = x == 0
+        x = x[~same]
         low = x & (~x + np.uint64(1))
-        differs = x != 0
-        out[live[differs]] = np.minimum(cap, at + (np.bitwise_count(low[differs] - np.uint64(1)) >> 3))
-        live = live[~differs]
+        out[live[~same]] = np.minimum(cap, at + (np.bitwise_count(low - np.uint64(1)) >> 3))
+        live, a, b = live[same], a[same], b[same]
         if not len(live):
             break
     return out
 
 
+def agree(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of ``size`` symbols at a and b are equal; ``text`` is padded by 8 or more."""
+    wide = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    out = np.ones(len(a), bool)
+    live, at = np.arange(len(a)), 0
+    while len(live):
+        left = size[live] - at
+        # symbols behind the string are shifted out
+        beyond = (np.maximum(8 - left, 0) << 3).astype(np.uint64)
+        out[live] = (wide[a[live] + at] ^ wide[b[live] + at]) << beyond == 0
+        live, at = live[out[live] & (left > 8)], at + 8
+    return out
+
+
 class _Pass:
     """Deals predecessors of sorted suffixes to a queue, with the common prefixes between them."""
 
@@ -126,6 +142,12 @@ class _Pass:
         counts = np.bincount(symbol, minlength=256)
         at = 0
         seen = np.flatnonzero(counts)
+        if not self.cap:
+            moved, nothing = before[fits[order]], np.zeros(len(fits), np.uint8)
+            for s in seen:
+                self.queue.push(int(s), moved[at:at + counts[s]], nothing[at:at + counts[s]])
+                at += counts[s]
+            return
         whole = int(common.min()) if len(common) else self.cap
         first = self.since.copy()
         np.minimum(self.since, whole, out=self.since)
@@ -150,7 +172,7 @@ class _Pass:
 def induced(text: np.ndarray, n: int, up: np.ndarray, seeds: np.ndarray, folder: str, cap: int):
     """(place, common prefix with the one before) of all suffixes in order, block by block.
 
-    ``seeds`` are the turns in order; ``text`` is padded.
+    ``seeds`` are the turns in order; ``text`` is padded. With ``cap`` 0 no common prefixes are carried.
     """
     symbol = text[seeds]
     common = np.zeros(len(seeds), np.uint8)
@@ -222,49 +244,63 @@ def seed_order(text: np.ndarray, n: int, up: np.ndarray, ends: np.ndarray, folde
     if len(seeds) < 2:
         return seeds
     by_symbol = seeds[np.argsort(text[seeds], kind="stable")]
-    order = np.concatenate([p[turn[p]] for p, _ in induced(text, n, up, by_symbol, folder, cap)])
-    # names of the strings from turn to turn; one that holds a mark is like no other
+    order = np.concatenate([p[turn[p]] for p, _ in induced(text, n, up, by_symbol, folder, 0)])
+    del turn
     index = np.empty(n, np.int64)
     index[seeds] = np.arange(len(seeds))
+    at = index[order]
+    del order, index
+    # names of the strings from turn to turn; one that holds a mark is like no other
     stop = np.append(seeds[1:], n - 1) + 1
     marked = np.searchsorted(ends, stop) > np.searchsorted(ends, seeds)
     marked[-1] = True
-    code = SpanHash(BYTE_CODES[text[:n]])(seeds, stop)
-    at = index[order]
+    size = (stop - seeds)[at]
+    del stop
+    alike = np.flatnonzero(size[1:] == size[:-1])
+    # two strings are one name if they agree as far as windows reach
+    alike = alike[agree(text, seeds[at[alike]], seeds[at[alike + 1]], np.minimum(size[alike], cap))]
     new = np.ones(len(at), bool)
-    new[1:] = (code[at[1:]] != code[at[:-1]]) | marked[at[1:]] | \
-        ((stop - seeds)[at[1:]] != (stop - seeds)[at[:-1]])
+    new[alike + 1] = False
+    del size, alike
+    if (~new[1:] & (marked[at[1:]] != marked[at[:-1]])).any():
+        # where texts hold the byte of the mark, strings with a mark must not part others that are equal
+        at = at[np.argsort((np.cumsum(new) << 1) + marked[at], kind="stable")]
+    new |= marked[at]
     name = np.empty(len(seeds), np.int64)
     name[at] = np.cumsum(new) - 1
-    return seeds[ordered_names(name)]
+    del at, new, marked
+    return seeds[ordered_names(name, seeds, cap)]
+
 
+def ordered_names(name: np.ndarray, place: np.ndarray, cap: int) -> np.ndarray:
+    """Suffix order of a string of names, by tuples of ranks ``h`` names apart in rounds.
 
-def ordered_names(rank: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of names, by tuples of ranks ``h`` names apart in rounds."""
-    m, h = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    rank = rank.copy()
+    ``place`` says where each name begins. Suffixes that agree for ``cap`` symbols stand together in any order.
+    """
+    m, h = len(name), 1
+    order = np.argsort(name, kind="stable")
+    # ranks count the suffixes below a group, so that groups split in place
+    sizes = np.bincount(name)
+    rank = (np.cumsum(sizes) - sizes)[name]
+    open_ = np.flatnonzero(sizes[name[order]] > 1)
     while True:
-        sizes = np.bincount(rank, minlength=m)
-        # ranks count the suffixes below a group, so that groups split in place
-        rank = (np.cumsum(sizes) - sizes)[rank]
-        open_ = np.flatnonzero(np.bincount(rank, minlength=m)[rank[order]] > 1)
+        live = order[open_]
+        reach = live + h
+        # equal names are of one length, so a group goes on or ends as a whole
+        short = (reach >= m) | (place[np.minimum(reach, m - 1)] - place[live] < cap)
+        open_, live, reach = open_[short], live[short], reach[short]
         if not len(open_):
             return order
-        live = order[open_]
-        follow = np.zeros(len(live), np.int64)
-        inside = live + h < m
-        follow[inside] = rank[live[inside] + h] + 1
-        place = np.lexsort((follow, rank[live]))
-        live, follow = live[place], follow[place]
+        key = rank[live] * (m + 1)
+        inside = reach < m
+        key[inside] += rank[reach[inside]] + 1
+        by_key = np.argsort(key)
+        live, key = live[by_key], key[by_key]
         order[open_] = live
-        split = np.zeros(len(live), np.int64)
-        fresh = (rank[live[1:]] != rank[live[:-1]]) | (follow[1:] != follow[:-1])
-        split[1:] = fresh
-        group = np.maximum.accumulate(np.where(np.append(1, split[1:]), np.arange(len(live)), 0))
-        head = np.maximum.accumulate(np.where(
-            np.append(True, rank[live[1:]] != rank[live[:-1]]), np.arange(len(live)), 0))
-        rank[live] = rank[live] + group - head
+        fresh = np.ones(len(key) + 1, bool)
+        fresh[1:-1] = key[1:] != key[:-1]
+        rank[live] = open_[np.maximum.accumulate(np.where(fresh[:-1], np.arange(len(key)), 0))]
+        open_ = open_[~(fresh[:-1] & fresh[1:])]
         h *= 2
 
 
@@ -290,11 +326,11 @@ def _search(rows: pa.Table, width: int) -> pa.RecordBatch:
     docs, number = np.unique(rows.column("doc_id").to_numpy(), return_inverse=True)
     key = (number.astype(np.int64) << 32) + rows.column("start").to_numpy()
     owner = np.repeat(np.arange(len(n), dtype=np.int32), length + 1)
-    at = np.arange(len(text)) - begin[owner]
-    window = at < n[owner]
+    best = np.arange(len(text))
+    window = best < (begin + n)[owner]
     # a run of U+0000 can equal one across a mark, which is no window and must not count as earlier
-    best = np.where(window, key[owner] + at, np.iinfo(np.int64).max)
-    del at
+    best += (key - begin)[owner]
+    best[~window] = np.iinfo(np.int64).max
     with tempfile.TemporaryDirectory() as folder:
         held, low = [], 0
         for place, common in sorted_suffixes(text, ends, folder, width):
@@ -316,11 +352,14 @@ def _search(rows: pa.Table, width: int) -> pa.RecordBatch:
         _settle(best, held)
     place = np.flatnonzero(window)
     owner, best = owner[place], best[place]
-    at = place - begin[owner]
-    doc, start = best >> 32, best & 0xFFFFFFFF
-    a, z = merged_runs(owner, at, doc, start, moving=True)
-    own = (doc[a] == number[owner[a]]) & (start[a] == rows.column("start").to_numpy()[owner[a]] + at[a])
-    return found_rows(rows, owner[a], at[a], at[z - 1] + 1, docs[doc[a]], start[a], own)
+    # runs of windows of one stretch whose first place moves along
+    step = np.ones(len(place), bool)
+    step[1:] = (owner[1:] != owner[:-1]) | (best[1:] != best[:-1] + 1)
+    a = np.flatnonzero(step)
+    at, until = place[a], place[np.append(a[1:], len(place)) - 1] + 1
+    owner, best = owner[a], best[a]
+    at, until = at - begin[owner], until - begin[owner]
+    return found_rows(rows, owner, at, until, docs[best >> 32], best & 0xFFFFFFFF, best == key[owner] + at)
 
 
 def _settle(best: np.ndarray, held: list) -> None:
@@ -331,7 +370,8 @@ def _settle(best: np.ndarray, held: list) -> None:
 
 def _index(width):
     def run(batches):
-        for rows in shards(batches, SHARD_BYTES):
+        # finer batches: a shard stays near its limit
+        for rows in shards(blocks(batches, "symbols", SHARD_BYTES // 8), SHARD_BYTES):
             yield _search(rows, width)
     return run
 
@@ -345,23 +385,24 @@ def repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
 def _kept(batches):
     for b in blocks(batches):
         data, offsets = flat(b.column("text"))
-        gone, runs, kept, digest = [], [], [], []
-        for i, spans in enumerate(b.column("spans").to_pylist()):
-            part = data[offsets[i]:offsets[i + 1]]
-            if spans:
-                cut = covered(np.array([s["begin"] for s in spans]), np.array([s["end"] for s in spans]), len(part))
-                runs.append(int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()))
-                gone.append(int(cut.sum()))
-                part = part[~cut]
-            else:
-                runs.append(0)
-                gone.append(0)
-            raw = part.tobytes()
-            kept.append(raw)
-            digest.append(hashlib.sha256(raw).hexdigest())
+        spans = b.column("spans")
+        each = spans.flatten()
+        base = np.repeat(offsets[:-1], pc.fill_null(pc.list_value_length(spans), 0).to_numpy(False))
+        # no span leaves its text, so all texts of a block are covered at once
+        cut = covered(base + each.field("begin").to_numpy(), base + each.field("end").to_numpy(), len(data))
+        run = cut.copy()
+        run[1:] &= ~cut[:-1]
+        firsts = offsets[:-1][offsets[1:] > offsets[:-1]]
+        run[firsts] = cut[firsts]
+        runs = np.diff(np.searchsorted(np.flatnonzero(run), offsets))
+        gone = np.searchsorted(np.flatnonzero(cut), offsets)
+        raw, bounds = data[~cut].tobytes(), (offsets - gone).astype(np.int32)
+        kept = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
+        view, ends = memoryview(raw), bounds.tolist()
+        digest = [hashlib.sha256(view[x:y]).hexdigest() for x, y in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()),
-             pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(digest, pa.string())],
+            [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(gone), pa.int64()),
+             pa.array(runs, pa.int64()), kept, pa.array(digest, pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
 
