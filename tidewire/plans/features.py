@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import config
-from ..functions import obfuscation, sender as sn, text as tx
+from ..functions import obfuscation, scan, sender as sn, text as tx
 from ..operators.activity import address_activity
 
 
@@ -70,14 +70,10 @@ def derived_scores(df: DataFrame) -> DataFrame:
 def extract_features(df: DataFrame, model=None, keep_text: bool = True, **burst) -> DataFrame:
     """Every message feature in one plan.
 
-    Text and row features are plain projections. The address history is computed from narrow rows
+    Every row's text is scored, by blocks of rows. The address history is computed from narrow rows
     and joined back by message id, so each message is shuffled once.
     """
-    rows = classify_unknown(clean_messages(df), model)
-    rows = tx.add_text_features(rows)
-    rows = rows.withColumn("message_obfuscation", obfuscation.obfuscation_score("message_text"))
-    if not keep_text:
-        rows = rows.drop("message_text")
+    rows = scan.add_text_scores(classify_unknown(clean_messages(df), model), keep_text=keep_text)
     rows = derived_scores(sender_features(rows))
     history = address_activity(clean_messages(df).select("id", "timestamp", "source_addr",
                                                          "dest_addr"), **burst)
