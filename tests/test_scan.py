@@ -37,6 +37,23 @@ def test_scores_equal_the_expressions(spark, monkeypatch):
     assert not left
 
 
+def test_model_texts_equal_the_expressions(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK_CHARS", 5000)
+    more = ["код 1234", "otp\n1234 pin x99999", "мій код: 12 345 code 77777!", "5 uah 12345 грн a12345 12345a 1234567890123 +380501234567",
+            "HTTPS://a www.b WWW.c?", "1234 12345678 ٣٣٣٣ x", "\t a  b\x85 "]
+    df = spark.createDataFrame(list(enumerate(texts() + more)), "id int, t string").repartition(4)
+    want = df.select("id", tx.normalize_text("t", extended=True).alias("processed_text"),
+                     *[c.cast("double").alias(f"st_{n}") for n, c in tx.text_model_features("t").items()])
+    got = scan.add_model_texts(df, "t")
+    assert {f.name: f.dataType for f in got.drop("t").schema} == {f.name: f.dataType for f in want.schema}
+    left = {r["id"]: r for r in got.collect()}
+    for r in want.collect():
+        for name, value in r.asDict().items():
+            assert left[r["id"]][name] == value, (name, value, left[r["id"]])
+    assert scan.normalize_text("1" * 200_000 + " грн " + "код" * 50_000, True, True).startswith("LONGNUM")
+    assert not scan.has_code("код" * 50_000)
+
+
 def test_long_runs_are_read_once():
     text = "1" * 200_000 + " " + "." * 200_000 + " " + "a." * 100_000 + "$"
     assert scan.financial_patterns(text) == 0
