@@ -4,7 +4,7 @@ import random
 import struct
 
 from tidewire import config
-from tidewire.operators import pdus as pd_
+from tidewire.operators import ordered, pdus as pd_
 from tidewire.streaming.frames import frame_pdus_stream
 
 T0 = dt.datetime(2024, 1, 5, 12, 0, 0)
@@ -122,3 +122,27 @@ def test_jump_table_takes_few_steps(monkeypatch):
     assert table.tolist() == want and len(calls) < longest // 2
     packed = pd_._packed(table)
     assert pd_._unpacked(packed).tolist() == want and len(packed) < table.nbytes // 4
+
+
+def test_packets_are_written_once(spark):
+    """No window and no join moves payloads: they are put in order by one shuffle, then dealt into groups of segments."""
+    plan = pd_.frame_pdus(packets(spark, random.Random(3)), segment_bytes=1000, longest=500)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "FlatMapCoGroupsInPandas" in physical
+    for line in physical.splitlines():
+        assert "payload" not in line or ("Window" not in line and "SortMergeJoin" not in line)
+
+
+def test_starts_in_ranges(spark):
+    rng = random.Random(4)
+    rows = [(f"f{rng.choice((0, 0, 0, 1, 2))}", k, rng.randrange(5), f"p{k}") for k in range(500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered.starts_in_ranges(spark.createDataFrame(rows, "g string, k int, n int, p string").repartition(3), "g", "k", "n")
+        found = {r["p"]: r["start"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at = {}
+    for g, _, n, p in rows:
+        assert found[p] == at.get(g, 0)
+        at[g] = at.get(g, 0) + n

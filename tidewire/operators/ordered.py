@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from ..session import work_dir
 
@@ -52,6 +55,44 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
         *[(F.col(f"cum_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums], *[f"all_{s}" for s in sums])
 
 
+def _running_starts(by: str, size: str):
+    """Batches of rows sorted by ``by`` with ``start``, the sum of ``size`` before each row of its group."""
+    def run(batches):
+        last, at = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, sizes = b.column(by), b.column(size).to_numpy()
+            code = keys.dictionary_encode().indices.to_numpy()
+            before = np.cumsum(sizes) - sizes
+            head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            start = before - np.repeat(before[head], np.diff(np.append(head, len(code))))
+            if keys[0].as_py() == last:
+                start[code == code[0]] += at
+            last, at = keys[-1].as_py(), int(start[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(start)], names=[*b.schema.names, "start"])
+    return run
+
+
+def starts_in_ranges(df: DataFrame, by: str, order: str, size: str) -> DataFrame:
+    """``df`` without ``order`` and with ``start``, the sum of ``size`` before each row of its group ``by`` along ``order``.
+
+    For wide rows: they are shuffled and written once, in ranges of (by, order) with the sums inside a range. Only the first
+    group of a range can begin in an earlier one, so at most as many sums as ranges are sent to all tasks. ``by`` has no nulls.
+    """
+    ranged = df.repartitionByRange(F.asc(by), F.asc(order)).sortWithinPartitions(by, order).drop(order).withColumn(
+        "_range", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("start", T.LongType())])
+    path = work_dir(df.sparkSession, "starts")
+    ranged.mapInArrow(_running_starts(by, size), schema).write.parquet(path)
+    rows = df.sparkSession.read.schema(schema).parquet(path)
+    sums = rows.groupBy(by, "_range").agg(F.sum(size).alias("_t"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(by, "_range", F.sum("_t").over(before).alias("_o")).where("_o > 0")
+    return rows.join(F.broadcast(offsets), [by, "_range"], "left").withColumn(
+        "start", F.col("start") + F.coalesce("_o", F.lit(0))).drop("_range", "_o")
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; nulls and NaN are left out."""

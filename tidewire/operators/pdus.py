@@ -11,7 +11,7 @@ from ..functions import pdu as pf, sender as sn, text as tx
 from ..functions.chars import JSPACE
 from ..session import cut_lineage
 from ..sources.tables import with_pdu_defaults
-from .ordered import running_totals
+from .ordered import starts_in_ranges
 
 FLOW = ["src_ip", "src_port", "dst_ip", "dst_port"]
 PORT = 2775
@@ -165,6 +165,8 @@ LONGEST = 70_000
 HEADER = 16
 #: tables that are put together at once
 FAN = 128
+#: small segments travel in groups of about so many bytes, as each needs the bytes that follow it
+GROUP_BYTES = 1 << 20
 
 _COMMANDS = sorted(config.COMMANDS)
 #: offsets looked at in one go
@@ -243,22 +245,29 @@ def _unpacked(jumps):
     return np.cumsum(np.frombuffer(zlib.decompress(bytes(jumps)), np.int32), dtype=np.int32)
 
 
-def _segment(pdf, width: int, longest: int):
-    """Bytes of a segment and of what follows it, its own size, its first offset, packet ends and times."""
+def _segments(pdf, width: int, group: int, longest: int):
+    """Per segment of a group: its number, its bytes and what follows them, its own size, packet ends and times."""
     import numpy as np
     pdf = pdf.sort_values("start")
-    first, origin = int(pdf["segment"].iloc[0]) * width, int(pdf["start"].iloc[0])
-    data = b"".join(pdf["payload"])[first - origin:][:width + longest + HEADER]
+    origin, whole = int(pdf["start"].iloc[0]), b"".join(pdf["payload"])
     ends = np.cumsum([len(x) for x in pdf["payload"]]) + origin
-    return data, min(width, int(pdf["total"].iloc[0]) - first), first, ends, pdf["us"].to_numpy() if "us" in pdf else None
+    first = int(pdf["_g"].iloc[0]) * group
+    for segment in range(first, first + group):
+        at = segment * width - origin
+        if at >= len(whole):
+            break
+        data = whole[at:at + width + longest + HEADER]
+        yield segment, data, min(width, len(data)), ends, pdf["us"].to_numpy() if "us" in pdf else None
 
 
-def _tables(width: int, longest: int):
+def _tables(width: int, group: int, longest: int):
     def run(pdf):
         import pandas as pd
-        data, size, *_ = _segment(pdf, width, longest)
-        return pd.DataFrame({"flow": pdf["flow"].iloc[:1], "segment": pdf["segment"].iloc[:1],
-                             "jumps": [_packed(jump_table(data, size, longest))]})
+        found = [(segment, _packed(jump_table(data, size, longest)))
+                 for segment, data, size, *_ in _segments(pdf, width, group, longest)]
+        frame = pd.DataFrame(found, columns=["segment", "jumps"])
+        frame.insert(0, "flow", pdf["flow"].iloc[0])
+        return frame
     return run
 
 
@@ -302,19 +311,20 @@ def _entries(tables: DataFrame) -> DataFrame:
     return found
 
 
-def _cut(width: int, longest: int):
-    """Units and damage that start in a segment; what the flow does not end is left out."""
-    def run(pdf):
+def _cut(width: int, group: int, longest: int):
+    """Units and damage that start in a group's segments; what the flow does not end is left out."""
+    def run(pdf, entries):
         import numpy as np
         import pandas as pd
-        data, size, first, ends, us = _segment(pdf, width, longest)
-        heads, out, pos = plausible_headers(data, longest), [], int(pdf["entry"].iloc[0])
-        while pos < size and pos + HEADER <= len(data):
-            after, _ = step(data, heads, pos, longest)
-            if after > len(data):
-                break
-            out.append((first + pos, data[pos:after], int(us[np.searchsorted(ends, first + after)])))
-            pos = after
+        out, entry = [], dict(zip(entries["segment"], entries["entry"]))
+        for segment, data, size, ends, us in _segments(pdf, width, group, longest):
+            heads, pos, first = plausible_headers(data, longest), int(entry[segment]), segment * width
+            while pos < size and pos + HEADER <= len(data):
+                after, _ = step(data, heads, pos, longest)
+                if after > len(data):
+                    break
+                out.append((first + pos, data[pos:after], int(us[np.searchsorted(ends, first + after)])))
+                pos = after
         frame = pd.DataFrame(out, columns=["unit_start", "raw", "us"])
         for c in FLOW:
             frame[c] = pd.Series([pdf[c].iloc[0]] * len(frame), dtype=object)
@@ -349,17 +359,17 @@ def frame_pdus(packets: DataFrame, seq: str = "packet_id", ts: str = "timestamp"
         F.col(seq).alias("_seq"))
     rows = rows.select("*", F.to_json(F.struct(*FLOW), {"ignoreNullFields": "false"}).alias("flow"),
                        F.struct("us", "_seq", F.xxhash64("payload")).alias("_order")).drop("_seq")
-    placed = running_totals(rows, "_order", ["size"], by=["flow"])
-    start, look = F.col("cum_size") - F.col("size"), longest + HEADER
-    # a packet counts in its own segment and in those that look ahead as far as it
-    low = F.greatest(F.lit(0).cast("bigint"), F.floor((start - look) / F.lit(segment_bytes)))
-    high = F.floor((F.col("cum_size") - 1) / F.lit(segment_bytes))
-    placed = placed.select(*FLOW, "flow", "us", "payload", start.alias("start"), F.col("all_size").alias("total"),
-                           F.explode(F.sequence(low, high)).alias("segment"))
-    narrow = placed.select("flow", "segment", "start", "total", "payload")
-    tables = cut_lineage(narrow.groupBy("flow", "segment").applyInPandas(
-        _tables(segment_bytes, longest), "flow string, segment bigint, jumps binary"), "jumps")
-    cut = placed.join(_entries(tables), ["flow", "segment"]).groupBy("flow", "segment").applyInPandas(
-        _cut(segment_bytes, longest), f"{_FLOW_TYPES}, unit_start bigint, raw binary, us bigint")
+    placed = starts_in_ranges(rows, "flow", "_order", "size")
+    # a packet counts in its own group of segments and in those that look ahead as far as it
+    group = max(1, GROUP_BYTES // segment_bytes)
+    wide, look = F.lit(group * segment_bytes), longest + HEADER
+    low = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("start") - look) / wide))
+    high = F.floor((F.col("start") + F.col("size") - 1) / wide)
+    placed = placed.select(*FLOW, "flow", "us", "payload", "start", F.explode(F.sequence(low, high)).alias("_g"))
+    tables = cut_lineage(placed.select("flow", "_g", "start", "payload").groupBy("flow", "_g").applyInPandas(
+        _tables(segment_bytes, group, longest), "flow string, segment bigint, jumps binary"), "jumps")
+    entries = _entries(tables).withColumn("_g", F.expr(f"segment div {group}"))
+    cut = placed.groupBy("flow", "_g").cogroup(entries.groupBy("flow", "_g")).applyInPandas(
+        _cut(segment_bytes, group, longest), f"{_FLOW_TYPES}, unit_start bigint, raw binary, us bigint")
     return cut.select(*FLOW, "unit_start", "raw", F.timestamp_micros("us").alias("timestamp"),
                       framing_error(longest).alias("error"))
