@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidewire import config
 from tidewire.plans import evaluation_queries, stream_queries
 from tidewire.sources import tables as tb
@@ -75,3 +77,18 @@ def test_export_may_be_compressed(spark, tmp_path):
     assert {f.rsplit(".", 1)[1] for f in os.listdir(path) if f.startswith("part-")} == {"gz"}
     got = tb.read_messages_csv(spark, path).collect()
     assert {r["message_id"]: r["message_text"] for r in got} == {str(i): text for i in range(5)}
+
+
+def test_packed_texts_come_back_whole(spark, tmp_path):
+    texts = [None, "", "x", 'a "b", c', "ї" * 3000, "line\nbreak, \"q\"", "​ 😀"] * 60
+    df = spark.createDataFrame([(str(i), t, i) for i, t in enumerate(texts)], "message_id string, message_text string, n int")
+    packed = tb.pack_text(df, "message_text")
+    assert dict(packed.dtypes)["message_text"] == "binary"
+    assert packed.where("message_id = '4'").select(F.octet_length("message_text")).first()[0] < 200
+    back = tb.unpack_text(packed, "message_text")
+    assert back.schema == df.schema and sorted(back.collect(), key=lambda r: r.n) == df.collect()
+    paths = [str(tmp_path / x) for x in ("plain", "packed")]
+    tb.export_csv(df, paths[0], by="n")
+    tb.export_csv(packed, paths[1], by="n", packed="message_text")
+    read = [sorted(tb.read_messages_csv(spark, p, schema=df.schema).collect(), key=lambda r: r.n) for p in paths]
+    assert read[0] == read[1] and len(read[0]) == len(texts)
